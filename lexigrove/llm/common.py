@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +112,28 @@ def ensure_importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by an integer key column: no group is spread over two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        if held and held[-1].column(key)[-1] != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = len(keys) - 1 - int(np.argmax(keys.to_numpy()[::-1] != keys[-1].as_py())) if keys[0] != keys[-1] else -1
+        if last >= 0:
+            yield pa.Table.from_batches([*held, batch.slice(0, last + 1)])
+            held = []
+        held.append(batch.slice(last + 1))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (length[0] numbers), then the same from start[1], and so on."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)

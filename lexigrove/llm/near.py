@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import binary_rows, checked_broadcast, col, cut, fixed_matrix, fresh, int_text, list_array
+from .common import binary_rows, checked_broadcast, col, cut, fixed_matrix, fresh, int_text, list_array, whole_groups
 
 _U = np.uint64
 SAMPLES, SKETCH_BITS, BANDS, ROWS, SHINGLE, THRESHOLD = 256, 512, 42, 6, 2, 0.6
@@ -147,34 +147,14 @@ def linked(ids: np.ndarray, bitmaps: np.ndarray, most: int) -> tuple[np.ndarray,
 def _verify(most: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket."""
-        held: list[pa.RecordBatch] = []
-
-        def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts)
-            bucket = table["bucket"].to_numpy()
-            ids = table["id"].to_numpy()
+        for table in whole_groups(batches, "bucket"):
+            bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
             bitmaps = fixed_matrix(table["sketch"], _U, SKETCH_BITS // 64)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             found = [linked(ids[a:b], bitmaps[a:b], most) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
             pairs = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column("bucket").to_numpy()
-            last = int(np.searchsorted(bucket, bucket[-1]))
-            if last:
-                yield edges([*held, batch.slice(0, last)])
-                held = [batch.slice(last)]
-            elif held and held[-1].column("bucket")[0].as_py() != bucket[0]:
-                yield edges(held)
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield edges(held)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
     return verify
 
