@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, near, suffix
+from . import exact, near, packing, quality, suffix
 from .common import ensure_importable
 
 
@@ -23,11 +23,19 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op6_suffix_dedup, op7_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_quality, op6_suffix_dedup, op7_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
