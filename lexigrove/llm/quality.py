@@ -2,7 +2,7 @@
 
 Random Fourier features approximate a Gaussian kernel over standardised statistics of a text; normal equations, summed over the
 partitions, fit ridge scores; isotonic regression on held-out labelled rows turns a score into the probability that a document is good.
-One of the statistics needs a lexicon: the log-odds with which words occur in toxic texts, learned from the same labelled rows.
+Some of the statistics need a lexicon: the log-odds with which words and beginnings of words occur in toxic texts, learned from the same labelled rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ FIT_ROWS = 20_000
 #: One labelled row in so many is held out for the calibration.
 HELD_OUT = 4
 FEATURES, RIDGE, SEED = 256, 1.0, 4711
-#: A word enters the lexicon if so many labelled texts have it.
-LEAST_DOCS = 8
+#: A word, or a beginning of one with so many bytes, enters the lexicon if so many labelled texts have it, with log-odds of at least so much.
+LEAST_DOCS, LEAST_ODDS, PREFIXES = 8, 1.0, (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 
 STATISTICS = (
@@ -43,7 +43,7 @@ _CLASS[3, 128:] = True
 
 @dataclass
 class Lexicon:
-    """Sorted hashes of folded words and their log-odds."""
+    """Sorted hashes of folded words and beginnings of words, and their log-odds."""
 
     code: np.ndarray
     weight: np.ndarray
@@ -55,6 +55,12 @@ class Lexicon:
         return np.where(self.code[at] == code, self.weight[at], 0.0)
 
 
+def lexical_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the whole words, then of their beginnings of each length (of a shorter word: of all of it)."""
+    parts = [(0, end)] + [(n, np.minimum(start + n, end)) for n in PREFIXES]
+    return [words.mix(words.hash_spans(raw, start, stop) + _U(n)) for n, stop in parts]
+
+
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values between successive bounds."""
     total = np.zeros(len(values) + 1, np.float64)
@@ -115,7 +121,7 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarr
         out[:, 13] = kinds / np.maximum(np.bincount(owner, minlength=n), 1)
     soft = folded(raw)
     start, end, first = words.word_spans(soft, offsets)
-    weight = lexicon.of(words.hash_spans(soft, start, end))
+    weight = np.max([lexicon.of(code) for code in lexical_codes(soft, start, end)], axis=0)
     some = np.maximum(np.diff(first), 1)
     out[:, 14] = _sums(weight, first) / some
     out[:, 16] = np.sqrt(_sums(weight > 2, first) / some)
@@ -126,20 +132,21 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarr
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (word hash, toxic texts with it, other texts with it), summed over the partition."""
+    """(text, toxic) to (lexical code, toxic texts with it, other texts with it), summed over the partition."""
     codes, toxics = [np.zeros(0, _U)], [np.zeros(0, bool)]
     for batch in batches:
         raw, offsets = words.text_buffer(batch.column(0))
         soft = folded(raw)
         start, end, first = words.word_spans(soft, offsets)
-        code = words.hash_spans(soft, start, end)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        order = np.lexsort((code, row))
-        code, row = code[order], row[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-        codes.append(code[new])
-        toxics.append(batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[row[new]])
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for code in lexical_codes(soft, start, end):
+            order = np.lexsort((code, rows))
+            code, row = code[order], rows[order]
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+            codes.append(code[new])
+            toxics.append(toxic[row[new]])
     code, toxic = np.concatenate(codes), np.concatenate(toxics)
     kinds, at = np.unique(code, return_inverse=True)
     bad = np.bincount(at, weights=toxic, minlength=len(kinds)).astype(np.int64)
@@ -241,6 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = (bad + good) / max(1, n_bad + n_good)
     weight = np.log((bad + 8 * share) / (max(n_bad, 1) + 8)) - np.log((good + 8 * share) / (max(n_good, 1) + 8))
     code = kinds["code"].to_numpy().astype(np.int64).view(_U)
+    telling = weight >= LEAST_ODDS
+    code, weight = code[telling], weight[telling]
     order = np.argsort(code)
     lexicon = Lexicon(code[order], np.round(weight[order], 9))
     stats = cut(sample.select("text", "good", "held").mapInArrow(_statistics_of(lexicon), "stats array<double>, good boolean, held boolean").coalesce(8))
