@@ -26,7 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
         spark.sparkContext.setCheckpointDir(base)
-    folder = f"{base.rstrip('/')}/{_run}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_run}")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if folder.startswith("file:/") and not folder.startswith("file://"):  # as other readers of the folder want it
+        folder = "file://" + folder[len("file:") :]
     if folder not in _cleaned:
         _cleaned.add(folder)
         atexit.register(_remove, spark, folder)
@@ -43,10 +46,15 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder and reread: no lineage, survives lost executors."""
+    return cut_path(df)[0]
+
+
+def cut_path(df: DataFrame) -> tuple[DataFrame, str]:
+    """cut(), and the folder of the table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, near, packing, quality, suffix
+from . import exact, html, lm, near, packing, pieces, quality, suffix, tokens, topk
 from .common import ensure_importable
 
 
@@ -23,6 +23,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -35,11 +43,44 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_quality, op6_suffix_dedup, op7_near_dedup)}
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole benchmark, scored on the whole of the documents."""
+    return lm.score(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_sentencepiece,
+        op3_token_counts,
+        op4_packing,
+        op5_quality,
+        op6_suffix_dedup,
+        op7_near_dedup,
+        op8_topk,
+        op9_html_extraction,
+        op10_lm_scoring,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as copies, doc_id = min(doc_id) over w as keep
 from documents window w as (partition by text)
+""",
+    "op8_topk": """
+with v as (select vec_id, embedding::double[] as e from embeddings),
+p as (select a.vec_id, b.vec_id as neighbor_id, list_inner_product(a.e, b.e) as x from v a join v b on a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by vec_id order by round(x, 9) desc, neighbor_id) as rank from p)
+select vec_id, cast(rank as integer) as rank, neighbor_id, round(x, 6) + 0.0 as score from r where rank <= 10
 """,
 }
