@@ -18,7 +18,8 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, col, cut, fixed_matrix, shared_folder
+from ..storage import cut, shared_folder
+from .common import binary_rows, col, fixed_matrix
 
 K = 10
 BLOCK, QUERIES = 4096, 1024
@@ -58,7 +59,7 @@ def splits(width: int) -> list[int]:
 
 
 class Search:
-    """The k best of a set of queries (rotated rows) so far. Rows are offered block by block, of descending length."""
+    """The k best of a set of queries (rotated rows) so far, by their scores to DIGITS digits. Rows are offered block by block, of descending length."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
@@ -66,6 +67,7 @@ class Search:
         self.splits = splits(vectors.shape[1])
         self.rest = [np.sqrt((vectors[:, s:] ** 2).sum(axis=1)) for s in self.splits]
         self.score = np.full((len(ids), k), -np.inf)
+        self.exact = self.score.copy()
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.pairs = 0
 
@@ -97,7 +99,8 @@ class Search:
                 r, c, total = r[alive], c[alive], total[alive]
             before = s
         other = self.ids[rows[r]] != ids[c]
-        r, c, total = r[other], c[other], np.round(total[other], DIGITS)
+        r, c, exact = r[other], c[other], total[other]
+        total = np.round(exact, DIGITS)
         self.pairs += len(r)
         if not len(r):
             return
@@ -105,12 +108,14 @@ class Search:
         k = self.k
         row = np.concatenate([np.repeat(hit, k), r])
         score = np.concatenate([self.score[rows[hit]].ravel(), total])
+        exact = np.concatenate([self.exact[rows[hit]].ravel(), exact])
         found = np.concatenate([self.found[rows[hit]].ravel(), ids[c]])
         order = np.lexsort((found, -score, row))
         row = row[order]
         first = np.searchsorted(row, hit)
         take = order[(first[:, None] + np.arange(k)).ravel()]
         self.score[rows[hit]] = score[take].reshape(-1, k)
+        self.exact[rows[hit]] = exact[take].reshape(-1, k)
         self.found[rows[hit]] = found[take].reshape(-1, k)
 
 
@@ -139,7 +144,7 @@ def _search(path: str, width: int, k: int):
         there = np.isfinite(state.score)
         rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), there.shape)
         ids = np.repeat(state.ids, k).reshape(there.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(rank[there]), pa.array(state.found[there]), pa.array(np.round(state.score[there], 6) + 0.0)], ["vec_id", "rank", "neighbor_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(rank[there]), pa.array(state.found[there]), pa.array(np.round(state.exact[there], 6) + 0.0)], ["vec_id", "rank", "neighbor_id", "score"])
 
     return search
 
