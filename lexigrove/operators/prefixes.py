@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
 from ..functions.symbols import SEPARATOR, TERMINATOR
-from ..storage import checked_broadcast, cut
+from ..storage import cut
 
 #: Texts are cut into parts of so many characters, and these again (overlapping by a window less one), as finding a character costs its distance from the start.
 PARTS = (1 << 16, 128)
+#: So many targets go along with the tasks that count.
+FEW_TARGETS = 100_000
 
 
 def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, targets: DataFrame | None = None, step: int = 1, compat: bool = False) -> DataFrame:
@@ -36,10 +43,58 @@ def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, target
     return found
 
 
+def _count(width: int, step: int, exclude_newlines: bool, compat: bool, targets: frozenset[str] | None):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, 0)):
+            texts = [t for t in part.column(0).to_pylist() if t]
+            flat = "".join(texts)
+            code = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+            places = len(code) - width + 1
+            if places <= 0:
+                continue
+            length = np.array([len(t) for t in texts])
+            ok = np.arange(width, len(code) + 1) <= np.repeat(np.cumsum(length), length)[:places]
+            if exclude_newlines:
+                newlines = np.concatenate([[0], np.cumsum((code == 10) | (code == 13))])
+                ok &= newlines[width:] == newlines[:places]
+            if compat and width == 1:
+                ok &= (code < 0x80) | ((code >= 0x800) & (code < 0x10000))
+            kinds, dense = np.unique(code, return_inverse=True)
+            at, bound = np.flatnonzero(ok), len(kinds)
+            ids = dense[at]
+            for k in range(1, width + 1):
+                if targets is not None and k == width - step:
+                    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
+                    wanted = np.array([flat[p : p + k] in targets for p in at[first]], bool)[which] if len(at) else np.zeros(0, bool)
+                    at, ids = at[wanted], ids[wanted]
+                if k == width:
+                    break
+                if bound * len(kinds) >= 1 << 62:
+                    ids = np.unique(ids, return_inverse=True)[1]
+                    bound = max(1, len(ids))
+                ids = ids * len(kinds) + dense[at + k]
+                bound *= len(kinds)
+            _, first, n = np.unique(ids, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([flat[p : p + width] for p in at[first]], pa.string()), pa.array(n, pa.int64())], ["prefix", "n"])
+
+    return count
+
+
 def window_counts(corpus: DataFrame, width: int, exclude_newlines: bool = True, targets: DataFrame | None = None, step: int = 1, compat: bool = False) -> DataFrame:
-    """(prefix, frequency, length) of the windows: partial counts per partition, then their sums."""
-    found = windows(corpus, width, exclude_newlines, targets, step, compat)
-    return found.groupBy("prefix").agg(F.count("*").alias("frequency")).withColumn("length", F.lit(width))
+    """(prefix, frequency, length) of the windows: counts per part of the texts, then their sums.
+
+    Counting in Arrow batches sends on distinct windows only; a row for each place costs ten times as much. Up to FEW_TARGETS targets are tested there too,
+    more of them where the counts meet.
+    """
+    few = None
+    if targets is not None and width > step:
+        some = targets.select("prefix").distinct().limit(FEW_TARGETS + 1).collect()
+        few = frozenset(r.prefix for r in some) if len(some) <= FEW_TARGETS else None
+    counts = corpus.select("text").mapInArrow(_count(width, step, exclude_newlines, compat, few), "prefix string, n long")
+    if targets is not None and few is None:
+        wanted = targets.select(F.col("prefix").alias("_wanted")).distinct()
+        counts = counts.join(wanted, F.substring("prefix", 1, width - step) == F.col("_wanted"), "left_semi")
+    return counts.groupBy("prefix").agg(F.sum("n").alias("frequency")).withColumn("length", F.lit(width))
 
 
 def merge_counts(*counts: DataFrame) -> DataFrame:
@@ -88,7 +143,7 @@ def discover(
             break
         if complete:
             accepted.append(_tails(corpus, above, width, step, exclude_newlines))
-        targets = checked_broadcast(above.select("prefix"), 64)
+        targets = above.select("prefix")
         width += step
     found = accepted[0]
     for more in accepted[1:]:

@@ -54,6 +54,12 @@ def cut_path(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table with at least a partition for each core: one that lies in fewer splits, so a small one, is dealt out."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table._jdf.queryExecution().toRdd().getNumPartitions() < n else table
+
+
 def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """small with a broadcast hint if its rows, counted in a written table, fit into limit; else as it is, to be shuffled."""
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
