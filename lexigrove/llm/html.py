@@ -31,7 +31,7 @@ _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
 BLOCK = _CLOSES_P | frozenset("li dt dd tr td th thead tbody tfoot caption option br body html".split())
-#: A start tag ends the open element of these names, up to the nearest of the bounds.
+#: A start tag ends the open elements of these names, up to the nearest of the bounds.
 _SIBLINGS = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
@@ -69,13 +69,15 @@ def parse(source: str) -> Page:
             end[stack.pop()] = len(segments)
 
     def close_open(names: frozenset, bounds: frozenset) -> None:
+        outermost = 0
         for depth in range(len(stack) - 1, 0, -1):
             tag = tags[stack[depth]]
-            if tag in names:
-                close_to(depth)
-                return
             if tag in bounds:
-                return
+                break
+            if tag in names:
+                outermost = depth
+        if outermost:
+            close_to(outermost)
 
     def text(part: str) -> None:
         if part:
