@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most so many bytes of the column's texts, or of one row: what a task holds doesn't depend on how long its texts are together."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -18,3 +18,4 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[
         to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()

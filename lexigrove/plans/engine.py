@@ -18,7 +18,7 @@ from ..operators import prefixes as prefixes_of
 from ..operators import suffixes as suffixes_of
 from ..operators import tree
 from ..sources.corpus import boundaries, superstring, write_index
-from ..storage import cut, ensure_importable
+from ..storage import cut, prepare
 
 
 @dataclass
@@ -39,7 +39,7 @@ class SuffixIndex:
     @classmethod
     def build(cls, corpus: DataFrame, config: IndexConfig | None = None) -> SuffixIndex:
         config = config or IndexConfig()
-        ensure_importable(corpus.sparkSession)
+        prepare(corpus.sparkSession)
         corpus = cut(corpus)
         size = corpus.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
         limit = config.resolved_limit(size)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.symbols import SEPARATOR, TERMINATOR, placement, utf16_length, visible
 from .operators import allocate, prefixes, search, suffixes, tree, trie
 from .sources import corpus as corpora
-from .storage import cut, ensure_importable, spread
+from .storage import cut, prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def _corpus(spark: SparkSession, sf_dir: str, table: str, key: str, text: str, distinct: bool = False) -> DataFrame:
-    ensure_importable(spark)
+    prepare(spark)
     df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     if distinct:
         df = df.groupBy(text).agg(F.min(key).alias(key))

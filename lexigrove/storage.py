@@ -65,9 +65,16 @@ def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_B
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Lets Python workers of a local session find this package; on a cluster it is shipped with --py-files."""
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: rows are whole texts here, and a task holds a few batches at once.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers of a local session find this package (on a cluster it is shipped with --py-files), and keeps their batches small."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
