@@ -7,36 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigrove.llm import exact, near, packing, quality, suffix
-from lexigrove.llm.common import cut, ensure_importable
+from lexigrove.storage import cut, prepare
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
-    ensure_importable(spark)
+    prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    ensure_importable(spark)
+    prepare(spark)
     return exact.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    ensure_importable(spark)
+    prepare(spark)
     return near.near_dedup(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without later occurrences of repeated passages."""
-    ensure_importable(spark)
+    prepare(spark)
     return suffix.suffix_dedup(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of pieces of the documents."""
-    ensure_importable(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -1,61 +1,12 @@
-"""What the operators share: intermediate tables in the cluster's shared folder, joins by checked size."""
+"""What the operators share: columns by name, Arrow arrays from numpy's, batches in parts."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side of a join is broadcast only up to this many bytes, taken from the rows of a written table.
-BROADCAST_BYTES = 16 << 20
-
-_run = f"lexigrove-{uuid.uuid4().hex}"
-_cleaned: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """This process's folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_run}")
-    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if folder.startswith("file:/") and not folder.startswith("file://"):  # as other readers of the folder want it
-        folder = "file://" + folder[len("file:") :]
-    if folder not in _cleaned:
-        _cleaned.add(folder)
-        atexit.register(_remove, spark, folder)
-    return folder
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may have ended before the process
-        return
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and reread: no lineage, survives lost executors."""
-    return cut_path(df)[0]
-
-
-def cut_path(df: DataFrame) -> tuple[DataFrame, str]:
-    """cut(), and the folder of the table."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
+from pyspark.sql import DataFrame
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, each lengthened until no column of df has it (without regard to case)."""
@@ -69,11 +20,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """small with a broadcast hint if its rows, counted in a written table, fit into limit; else as it is, to be shuffled."""
-    return F.broadcast(small) if small.count() * row_bytes <= limit else small
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -114,14 +60,6 @@ def fixed_matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(dtype).reshape(len(column), width)
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Lets Python workers of a local session find this package; on a cluster it is shipped with --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by an integer key column: no group is spread over two tables."""
     held: list[pa.RecordBatch] = []

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, col, cut, fresh, int_text
+from ..storage import checked_broadcast, cut
+from .common import col, fresh, int_text
 
 _U = np.uint64
 

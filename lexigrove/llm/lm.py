@@ -17,8 +17,10 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
+from ..storage import cut_path
 from . import words
-from .common import col, cut_path, list_array
+from .common import col, list_array
 from .near import folded
 
 _U = np.uint64
@@ -137,8 +139,8 @@ def _index(path: str, depth: int, shard_words: int):
 
         codes, ends, held = [], [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                code, first = folded_words(batch.column(0).slice(a, 1000))
+            for part in slices(batch, 0):
+                code, first = folded_words(part.column(0))
                 codes.append(code)
                 ends.append(first[1:])
                 held += len(code)

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
+from ..storage import checked_broadcast, cut
 from . import words
-from .common import binary_rows, checked_broadcast, col, cut, fixed_matrix, fresh, int_text, list_array, whole_groups
+from .common import binary_rows, col, fixed_matrix, fresh, int_text, list_array, whole_groups
 
 _U = np.uint64
 SAMPLES, SKETCH_BITS, BANDS, ROWS, SHINGLE, THRESHOLD = 256, 512, 42, 6, 2, 0.6
@@ -104,9 +106,7 @@ def most_differing(threshold: float) -> int:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = 2000
-        for a in range(0, batch.num_rows, step):
-            part = batch.slice(a, step)
+        for part in slices(batch, 1):
             rows, values = minhash(*shingles(part.column(1)), part.num_rows)
             bands = band_hashes(values)
             yield pa.RecordBatch.from_arrays(

@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
+from ..storage import cut
 from . import words
-from .common import cut, int_text, ranges
+from .common import int_text, ranges
 
 CAPACITY = 2048
 #: Windows that a group fills, on average. A larger group leaves less over and takes longer.
@@ -102,7 +104,7 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 def _pieces(capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n = word_counts(batch.column(1))
             room = capacity - 1  # and the end mark
             count = -(-n // room)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..arrow import slices
 from . import words
 from .common import col, int_text, list_array, ranges
 
@@ -318,8 +319,7 @@ def decode_batch(ids: np.ndarray, count: np.ndarray, path: str) -> tuple[np.ndar
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in slices(batch, 1, 1 << 22):
                 texts = part.column(1)
                 ids, count = encode_batch(texts, path)
                 data, length = decode_batch(ids, count, path)

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
+from ..storage import cut
 from . import words
-from .common import col, cut
+from .common import col
 from .near import folded
 
 _U = np.uint64
@@ -134,7 +136,7 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarr
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (lexical code, toxic texts with it, other texts with it), summed over the partition."""
     codes, toxics = [np.zeros(0, _U)], [np.zeros(0, bool)]
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         raw, offsets = words.text_buffer(batch.column(0))
         soft = folded(raw)
         start, end, first = words.word_spans(soft, offsets)
@@ -213,8 +215,7 @@ def _add(table: pa.Table) -> pa.Table:
 def _statistics_of(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in slices(batch, 0):
                 stats, filled = statistics(part.column(0), lexicon)
                 yield pa.RecordBatch.from_arrays([pa.array(list(stats), pa.list_(pa.float64())), part.column(1), part.column(2)], ["stats", "good", "held"]).filter(pa.array(filled))
 
@@ -279,8 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(model: Model | None, text_at: int, threshold: float, keep_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in slices(batch, text_at):
                 stats, filled = statistics(part.column(text_at).cast(pa.string()), model.lexicon if model else Lexicon(np.zeros(0, _U), np.zeros(0)))
                 chance = np.round(model.probability(stats), 6) if model else np.full(len(stats), np.nan)
                 keep = filled & ((chance >= threshold) if model else True)

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import prepare, spread
 from . import exact, html, lm, near, packing, pieces, quality, suffix, tokens, topk
-from .common import ensure_importable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    prepare(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

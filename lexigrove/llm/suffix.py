@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
+from ..storage import checked_broadcast, cut
 from . import words
-from .common import checked_broadcast, col, cut, fresh, int_text, ranges, whole_groups
+from .common import col, fresh, int_text, ranges, whole_groups
 
 _U = np.uint64
 LENGTH, ANCHOR = 50, 13
@@ -63,8 +65,7 @@ def anchor_runs(code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
+        for part in slices(batch, 1):
             _, _, w = words.scan(part.column(1))
             name, start, count, twice = anchor_runs(w.code, w.first)
             row = np.searchsorted(w.first, start, "right") - 1
@@ -77,8 +78,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, runs) to a record for each run: the ranks of LENGTH / 2 words at its windows and LENGTH / 2 places on."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
+        for part in slices(batch, 1):
             _, _, w = words.scan(part.column("text"))
             rank = (words.gram_hashes(w.code, _HALF) >> _U(32)).astype(np.uint32)
             runs = part.column("runs")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..arrow import slices
 from . import words
 from .common import int_text
 
@@ -65,8 +66,7 @@ def _count(path: str, rule: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, lengths = encoding(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in slices(batch, 1):
                 raw, offsets = words.text_buffer(part.column(1))
                 lead = (raw & 0xC0) != 0x80
                 char = np.concatenate([[0], np.cumsum(lead)])
