@@ -91,7 +91,7 @@ def test_components_of_a_long_chain(spark):
     n = 200
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(900, 800)], "a long, b long")
     got = {r.id: r.group_id for r in near.components(edges).collect()}
-    assert got == {i: 0 for i in range(1, n + 1)} | {0: 0} | {900: 800, 800: 800} or {k: v for k, v in got.items() if v != k} == {i: 0 for i in range(1, n + 1)} | {900: 800}
+    assert {k: v for k, v in got.items() if v != k} == {i: 0 for i in range(1, n + 1)} | {900: 800}
 
 
 def test_edge_cases(spark):

@@ -17,7 +17,7 @@ def brute(text, rule):
     coder, lengths = tokens.encoding(tokens.VOCABULARY)
     raw = text.encode()
     bounds, at = [0], 0
-    for line in raw.splitlines(keepends=True) if False else [x + b"\n" for x in raw.split(b"\n")[:-1]] + [raw.split(b"\n")[-1]]:
+    for line in [x + b"\n" for x in raw.split(b"\n")[:-1]] + [raw.split(b"\n")[-1]]:
         at += len(line)
         if line:
             bounds.append(at)
