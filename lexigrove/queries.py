@@ -235,6 +235,7 @@ _SUFFIXES = {
     "nation": "select n_nationkey::bigint as d, n_name as x from nation",
     "region": "select r_regionkey::bigint as d, r_name as x from region",
     "part": "select min(p_partkey) as d, p_name as x from part group by p_name",
+    "part_rows": "select p_partkey::bigint as d, p_name as x from part",
     "benchmark": "select item_id as d, text as x from benchmark",
 }
 _COLUMNS = {"nation": ("n_nationkey", "n_name"), "region": ("r_regionkey", "r_name"), "part": ("p_partkey", "p_name"), "benchmark": ("item_id", "text")}
@@ -254,18 +255,19 @@ def _single(corpus: DataFrame) -> DataFrame:
     return prefixes.window_counts(corpus, 1)
 
 
-def _add_suffix_array(name: str, table: str, strategy: str) -> None:
+def _add_suffix_array(name: str, table: str, strategy: str, sql: str | None = None, distinct: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        corpus = cut(_corpus(spark, sf_dir, table, *_COLUMNS[table], distinct=table == "part"))
+        corpus = cut(_corpus(spark, sf_dir, table, *_COLUMNS[table], distinct=distinct))
         return suffixes.suffix_array(corpus, _single(corpus), strategy)
 
     run.__name__ = name
-    _query(_suffix_sql(table))(run)
+    _query(_suffix_sql(sql or table))(run)
 
 
 _add_suffix_array("suffix_array", "nation", "auto")
 _add_suffix_array("suffix_array_region", "region", "auto")
-_add_suffix_array("suffix_array_part", "part", "auto")
+_add_suffix_array("suffix_array_part", "part", "auto", distinct=True)  # of the distinct names; every row: suffix_array_part_rows
+_add_suffix_array("suffix_array_part_rows", "part", "auto", sql="part_rows")
 _add_suffix_array("suffix_array_doubling", "benchmark", "doubling")
 
 

@@ -34,3 +34,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_but_the_assignment_has_sql():
     assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"task_groups"}
+
+
+def test_suffix_array_of_parts_has_every_row(spark, tmp_path):
+    rows = [(1, "ab"), (2, "ab"), (3, "b"), (4, "ab"), (5, None), (6, "")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    want = []
+    for prefix in "ab":
+        found = sorted((t[p:], d, p) for d, t in rows for p in range(len(t or "")) if t[p] == prefix)
+        for k, (x, d, p) in enumerate(found):
+            want.append((prefix, k, d, p, len(os.path.commonprefix([x, found[k - 1][0]])) if k else 0))
+    got = queries.QUERIES["suffix_array_part_rows"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("prefix", "rank", "doc_id", "pos", "lcp").collect()) == sorted(want)
