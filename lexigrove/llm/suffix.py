@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import slices
-from ..storage import checked_broadcast, cut
+from ..storage import checked_broadcast, cut, cut_path, drop
 from . import words
 from .common import col, fresh, int_text, ranges, whole_groups
 
@@ -161,20 +161,21 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: bool = False) -> DataFrame:
     """Spans of words covered by windows of LENGTH words that occur more than once in all texts.
 
     (doc_id, start_word, end_word, first, first_doc_id): words are runs of anything but ASCII white space, counted from 0, the end exclusive.
     first: the span is made of windows that occur here first (least id, then least place); the other spans are made of later occurrences,
     and first_doc_id is the least id in which one of their windows occurs first. A text may repeat a window within itself. Null and empty texts,
     texts of fewer words and rows with a null id have no spans. Rows that repeat an id are taken for one document: equal places in them are one
-    occurrence. An empty table gives no rows.
+    occurrence. An empty table gives no rows. few: repeats are expected in few documents; if so, only these texts are moved.
     """
     plain = int_text(docs, id_col, text_col).where("id is not null and text is not null")
     runs = plain.mapInArrow(_anchors, "id long, name long, start int, windows int, weight int")
     counted = runs.selectExpr("*", "sum(weight) over (partition by name) as total").where("total > 1")
     alive = counted.groupBy("id").agg(F.collect_list(F.struct("name", "start", "windows")).alias("runs"))
-    records = plain.join(alive.hint("shuffle_hash"), "id").select("id", "text", "runs").mapInArrow(_records, "id long, name long, start int, ranks binary")
+    alive = checked_broadcast(cut(alive), 1000) if few else alive.hint("shuffle_hash")
+    records = plain.join(alive, "id").select("id", "text", "runs").mapInArrow(_records, "id long, name long, start int, ranks binary")
     ordered = records.repartition("name").sortWithinPartitions("name", "id", "start")
     found = ordered.mapInArrow(_rerank, "id long, start int, end int, first boolean, origin long")
     spans = found.groupBy("id").agg(F.collect_list(F.struct("start", "end", "first", "origin")).alias("spans"))
@@ -211,6 +212,15 @@ def removable(spans: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     return out
 
 
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, spans) the documents that have removable words, with these."""
+    for batch in batches:
+        found = [removable([(s["start"], s["end"], s["first"]) for s in x]) for x in batch.column(1).to_pylist()]
+        on = [i for i, x in enumerate(found) if x]
+        cuts = [[{"start": a, "end": b} for a, b in found[i]] for i in on]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on, pa.int64())), pa.array(cuts, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], batch.schema.names)
+
+
 def _cutter(text_at: int, spans_at: int):
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +230,8 @@ def _cutter(text_at: int, spans_at: int):
             if lists.null_count < len(lists):
                 out = texts.to_pylist()
                 for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
-                    cuts = removable([(s["start"], s["end"], s["first"]) for s in lists[int(i)].as_py()])
-                    if cuts and out[i] is not None:
+                    cuts = [(s["start"], s["end"]) for s in lists[int(i)].as_py()]
+                    if out[i] is not None:
                         out[i] = without_spans(out[i], cuts)
                         keep[i] = bool(out[i].strip())
                 texts = pa.array(out, texts.type)
@@ -233,15 +243,9 @@ def _cutter(text_at: int, spans_at: int):
     return cut_texts
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with the later occurrences of repeated passages taken out of their texts; first occurrences stay.
-
-    A document of which no word is left goes. length_col, if docs has it and it isn't null, is set to the length of the text. The rest stays as it is; see repeated_spans for nulls and ties.
-    """
-    spans, key = fresh(docs, "cut_spans", "cut_key")
-    found = repeated_spans(docs, id_col, text_col)
-    struct = F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"), "first")
-    lists = cut(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(struct).alias(spans), F.max(~F.col("first")).alias("later")).where("later").drop("later"))
+def _pass(docs: DataFrame, lists: DataFrame, id_col: str, text_col: str, length_col: str | None) -> DataFrame:
+    """docs without the words of lists: (key, spans) of documents."""
+    key, spans = lists.columns
     lists = checked_broadcast(lists, 200)
     joined = docs.join(lists, col(docs, id_col).cast("long") == lists[key], "left").select(*[col(docs, c) for c in docs.columns], spans)
     at = docs.columns.index(next(c for c in docs.columns if c.lower() == text_col.lower()))
@@ -251,3 +255,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = docs.schema[length_col].dataType
         done = done.withColumn(length_col, F.when(n.isNotNull(), F.length(col(done, text_col)).cast(kind)))
     return done
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with the later occurrences of repeated passages taken out of their texts; first occurrences stay.
+
+    A pass spares words that a first window of the same document covers, which may keep a passage whole beside its first occurrence, and what it joins may repeat
+    a passage anew; so passes go on until they find nothing to take out. With distinct ids no window is left twice then: a pass takes out at least the last word of the last repeated one.
+    A document of which no word is left goes. length_col, if docs has it and it isn't null, is set to the length of the text. The rest stays as it is; see repeated_spans for nulls and ties.
+    """
+    spans, key = fresh(docs, "cut_spans", "cut_key")
+    struct = F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"), "first")
+    path = None
+    while True:
+        found = repeated_spans(docs, id_col, text_col, few=path is not None)
+        lists = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(struct).alias(spans), F.max(~F.col("first")).alias("later")).where("later").drop("later")
+        lists = cut(lists.mapInArrow(_cuts, f"`{key}` long, `{spans}` array<struct<start: int, end: int>>"))
+        if lists.isEmpty():
+            return docs
+        docs, done = cut_path(_pass(docs, lists, id_col, text_col, length_col))
+        if path:
+            drop(docs.sparkSession, path)
+        path = done

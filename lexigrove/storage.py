@@ -54,6 +54,12 @@ def cut_path(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A scanned table with at least a partition for each core: one that lies in fewer splits, so a small one, is dealt out."""
     n = table.sparkSession.sparkContext.defaultParallelism

@@ -97,3 +97,16 @@ def test_repeated_rows_count_as_one_document(spark):
 def test_removable():
     assert suffix.removable([(0, 50, True), (30, 90, False), (100, 150, False)]) == [(50, 90), (100, 150)]
     assert suffix.removable([(40, 60, True), (0, 100, False)]) == [(0, 40), (60, 100)]
+
+
+def test_nested_passages_leave_no_window_twice(spark):
+    run = lambda c, n: [f"{c}{i}" for i in range(n)]
+    p, x, y, z = run("p", 98), run("x", 3), run("y", 2), run("z", 60)
+    texts = [run("a", 5) + p, x + p + y, x + p + y + run("c", 4), z + x + p, z + x + p + y, p[:30] + run("d", 55) + p[30:], p[:30] + p[30:60] + run("d", 55), run("e", 49) + p + z[:30], z[30:] + run("e", 49)]
+    rows = [[i, " ".join(t), "x"] for i, t in enumerate(texts)]
+    out = suffix.suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    seen = [tuple(w[k : k + suffix.LENGTH]) for w in (r.text.split() for r in out) for k in range(len(w) - suffix.LENGTH + 1)]
+    assert len(seen) == len(set(seen))
+    assert {r.doc_id: r.text for r in out}[0] == rows[0][1]
+    assert {w for t in texts for w in t} == {w for r in out for w in r.text.split()}
+    assert suffix.repeated_spans(spark.createDataFrame([tuple(r) for r in out], SCHEMA)).count() == 0
