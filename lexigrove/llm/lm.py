@@ -159,7 +159,7 @@ def _text_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first))], ["query", "n_words"])
 
 
-def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text", alpha: float = ALPHA, shard_words: int = SHARD_WORDS) -> DataFrame:
+def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text", alpha: float = ALPHA, shard_words: int = SHARD_WORDS, leave_out: bool = False) -> DataFrame:
     """(item_id, n_words, log_prob, perplexity, mean_context, longest_context) of each row of texts under the n-grams of all of corpus.
 
     Words are compared without case and ASCII punctuation. A word's context is the longest run of words before it, within its text, that the corpus has within
@@ -167,6 +167,7 @@ def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col
     without context, and after a context x it is (c(xw) + alpha p(w after x less its first word)) / (c(x) + alpha). Natural logarithms; figures rounded to
     6 digits. A text that is null or has no word has n_words 0, log_prob 0 and null averages. Null ids stay; repeated rows get equal answers.
     Null texts of the corpus count for nothing; an empty corpus gives each word the probability 1. An empty table of texts gives no rows.
+    leave_out: the texts are rows of corpus; the scored occurrence itself, of the word and its context, counts for nothing, nor among N.
     """
     plain = texts.select(col(texts, id_col).cast("long").alias("item_id"), F.coalesce(col(texts, text_col).cast("string"), F.lit("")).alias("text"))
     queries, path = cut_path(plain.withColumn("query", F.monotonically_increasing_id()))
@@ -177,7 +178,9 @@ def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col
     each = parts.select("query", "start", F.posexplode("counts").alias("at", "n")).groupBy("query", "start", "at").agg(F.sum("n").alias("n"))
     counts, _ = cut_path(each)
     total = counts.where("query = -1").agg(F.sum("n")).first()[0] or 0
-    grams = counts.where("query >= 0").select("query", "start", (F.col("at") + 1).alias("length"), "n")
+    own = int(leave_out)
+    total = max(total - own, 0)
+    grams = counts.where("query >= 0").select("query", "start", (F.col("at") + 1).alias("length"), (F.col("n") - own).alias("n")).where("n > 0")
     whole = grams.select("query", (F.col("start") + F.col("length") - 1).alias("word"), (F.col("length") - 1).alias("context"), F.lit(0).cast("long").alias("c"), F.col("n").alias("cw"))
     before = grams.select("query", (F.col("start") + F.col("length")).alias("word"), F.col("length").alias("context"), F.col("n").alias("c"), F.lit(0).cast("long").alias("cw"))
     levels = whole.unionByName(before).groupBy("query", "word", "context").agg(F.max("c").alias("c"), F.max("cw").alias("cw"))

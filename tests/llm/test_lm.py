@@ -76,3 +76,28 @@ def test_suffix_array(seed):
     assert sorted(order.tolist()) == list(range(300))
     keys = [tuple(a[i : i + depth].tolist()) for i in order]
     assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("shard", [7, 10**6])
+def test_documents_are_scored_without_the_scored_occurrence(spark, shard):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["a", "b", "c", "D,", "é"]) for _ in range(r.randrange(0, 15)))) for i in range(15)]
+    rows += [(20, "a b c " * 4), (21, None), (22, "only here"), (23, "a b c " * 4), (24, "a a a a a")]
+    docs = [words(t) for _, t in rows]
+    total = sum(map(len, docs)) - 1
+    count = lambda g: sum(d[i : i + len(g)] == g for d in docs for i in range(len(d) - len(g) + 1)) - 1
+    want = []
+    for key, text in rows:
+        w, logs, contexts = words(text), [], []
+        for i in range(len(w)):
+            p, longest = (count([w[i]]) + 1 / (total + 1)) / (total + 1), 0
+            for n in range(1, i + 1):
+                if not (c := count(w[i - n : i])):
+                    break
+                p, longest = (count(w[i - n : i + 1]) + p) / (c + 1), n
+            logs.append(math.log(p))
+            contexts.append(longest)
+        n = len(w)
+        want.append((key, n, round(sum(logs), 6) + 0.0, math.exp(-sum(logs) / n) if n else None, sum(contexts) / n if n else None, max(contexts) if n else None))
+    t = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    close([tuple(x) for x in lm.score(t, t, shard_words=shard, leave_out=True).collect()], want)
