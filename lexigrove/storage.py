@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ BROADCAST_BYTES = 16 << 20
 
 _run = f"lexigrove-{uuid.uuid4().hex}"
 _cleaned: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This process's folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """This process's folder under spark.checkpoint.dir; a local one only where that is unset and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_run}")
@@ -50,7 +54,13 @@ def cut_path(df: DataFrame) -> tuple[DataFrame, str]:
     """cut(), and the folder of the table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the files of the shuffles behind a written table aren't needed any more
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
