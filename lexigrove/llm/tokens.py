@@ -7,6 +7,7 @@ and sections are ascending, so their interval join is one merge of sorted bounds
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = "|".join([r"'s", r"'t", r"'re", r"'ve", r"'m", r"'ll", r"'d", r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+", r"\s+(?!\S)", r"\s+"])
 #: first: the section of the token's first character; last: of its last; majority: the one with most of its characters, the earlier if some tie.
 RULES = ("first", "last", "majority")
+#: Runs of white space so long that the pattern's look-ahead would exhaust its stack; what the pattern takes for white space, as a class of code points.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +41,24 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encode_text(coder, text: str) -> np.ndarray:
+    """The ids of a text of any length.
+
+    A long run of white space is taken out of the pattern's hands: it is one piece, but for its last character, which goes with what follows, unless
+    the text ends there. That is how the pattern splits, so the ids are the same.
+    """
+    out, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            out.append(coder.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        out.append(np.array(coder._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+        at = end
+    if at < len(text):
+        out.append(coder.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
 def attribute(start: np.ndarray, end: np.ndarray, bounds: np.ndarray, rule: str, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For tokens [start, end), the section of each and whether it crosses a boundary.
 
@@ -70,7 +91,7 @@ def _count(path: str, rule: str):
                 raw, offsets = words.text_buffer(part.column(1))
                 lead = (raw & 0xC0) != 0x80
                 char = np.concatenate([[0], np.cumsum(lead)])
-                ids = [coder.encode_to_numpy(x) if x else np.zeros(0, np.uint32) for x in part.column(1).to_pylist()]
+                ids = [encode_text(coder, x or "") for x in part.column(1).to_pylist()]
                 size = lengths[np.concatenate(ids)] if ids else np.zeros(0, np.int64)
                 end = np.cumsum(size)
                 if len(raw) != (end[-1] if len(end) else 0):
@@ -102,7 +123,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A section is a line with its newline. Its tokens are those that rule gives it, of the encoding of the whole text, so the sections' counts add up to the
     text's; n_crossing of them reach into another section. Null and empty texts have no sections. Rows are counted each by itself, so repeated
-    ids have their sections several times and a null id stays null. Names of special tokens in a text are ordinary text. An empty table gives no rows.
+    ids have their sections several times and a null id stays null. A text may be of any length, white space of any length included. Names of special tokens in a text are ordinary text. An empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"no such rule: {rule}")

@@ -60,3 +60,15 @@ def test_bad_rule_and_empty_table(spark):
     assert tokens.section_tokens(docs).count() == 0
     with pytest.raises(ValueError):
         tokens.section_tokens(docs, rule="none")
+
+
+@pytest.mark.parametrize("text", [" " * 5000, "a" + " " * 5000 + "b", "a\n" + "\n \t" * 3000 + "\nb 's", "x" + "  " * 4000 + "!", " " * 4096 + "  9", ("ab" + " " * 6000) * 3, "\n" * 5000])
+def test_long_white_space_is_split_as_the_pattern_does(text):
+    coder, _ = tokens.encoding(tokens.VOCABULARY)
+    assert tokens.encode_text(coder, text).tolist() == coder.encode(text)
+
+
+def test_white_space_of_any_length(spark):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 300_000), (3, "a" + "\t " * 500_000 + "b")]
+    out = tokens.section_tokens(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 1), (2, 300_000), (3, 1)]
