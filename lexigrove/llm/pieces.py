@@ -9,6 +9,7 @@ from shorter prefixes just as the scores do. Words that were met before, in this
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -86,17 +87,34 @@ class PieceModel:
 
     def merges(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """What BPE makes of text, best score first and leftmost among equals; and the last pair that it joined."""
-        symbols, last = list(text), None
-        while True:
-            best, at = -math.inf, -1
-            for i in range(len(symbols) - 1):
-                x = self.score.get(symbols[i] + symbols[i + 1])
-                if x is not None and x > best:
-                    best, at = x, i
-            if at < 0:
-                return symbols, last
-            last = symbols[at], symbols[at + 1]
-            symbols[at : at + 2] = [last[0] + last[1]]
+        symbols: list[str | None] = list(text)
+        n, last = len(symbols), None
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        score = self.score
+        open_: list[tuple[float, int, str]] = []  # (score less than 0 first, place, what the pair there makes)
+
+        def offer(i: int) -> None:
+            if i >= 0 and right[i] < n:
+                joint = symbols[i] + symbols[right[i]]
+                x = score.get(joint)
+                if x is not None:
+                    heapq.heappush(open_, (-x, i, joint))
+
+        for i in range(n - 1):
+            offer(i)
+        while open_:
+            _, i, joint = heapq.heappop(open_)
+            j = right[i] if symbols[i] is not None else n
+            if j >= n or len(symbols[i]) + len(symbols[j]) != len(joint) or symbols[i] + symbols[j] != joint:
+                continue  # one of the two has been merged since
+            last = symbols[i], symbols[j]
+            symbols[i], symbols[j] = joint, None
+            right[i] = right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            offer(left[i])
+            offer(i)
+        return [s for s in symbols if s is not None], last
 
     def _last_merge(self, s: str) -> tuple[str, str] | None:
         symbols, last = self.merges(s)
@@ -345,7 +363,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """(doc_id, n_tokens, round_trip, ids) of each row: the ids of its text, and whether decoding them gives the text again.
 
     The empty text has no ids; of a null text all but the id is null. Each row is encoded by itself, so repeated rows agree and null ids stay. round_trip
-    is false only for a text with the mark U+2581 itself, which decodes to a space, or with characters unknown to a model without byte pieces. An empty table gives no rows.
+    is false, in texts of any length, only for one with the mark U+2581 itself, which decodes to a space, or with characters unknown to a model without byte pieces. An empty table gives no rows.
     """
     return int_text(docs, id_col, text_col).mapInArrow(_encode(model), "doc_id long, n_tokens int, round_trip boolean, ids array<int>")
 

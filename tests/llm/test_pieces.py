@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -84,3 +85,14 @@ def test_round_trip_and_edge_cases(spark):
     back = sorted(((r.doc_id, r.text) for r in pieces.decode(pieces.encode(docs)).collect()), key=str)
     assert back == sorted(((i, x and x.replace("▁", " ")) for i, x, *_ in rows), key=str)
     assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_runs_of_marks_of_any_length():
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    model = pieces.PieceModel(pieces.MODEL)
+    for n in (2, 3, 16, 17, 33, 500, 4097):
+        for text in ("a" + " " * n + "b", " " * n, "a" + " " * n + "the" + " " * n):
+            assert pieces.encode_batch(pa.array([text]), pieces.MODEL)[0].tolist() == library.encode(text)
+    began = time.time()
+    assert "".join(model.merges("a" + pieces.MARK * 100_000 + "b")[0]) == "a" + pieces.MARK * 100_000 + "b"
+    assert time.time() - began < 10
