@@ -10,12 +10,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..arrow import slices
 from .common import col
 
 _TOKEN = re.compile(
@@ -63,20 +65,24 @@ def parse(source: str) -> Page:
     page = Page()
     tags, parents, begin, end, segments, owners = page.tags, page.parents, page.begin, page.end, page.segments, page.owners
     stack = [0]
+    depths: dict[str, list[int]] = {}  # of each tag's open elements, outermost first
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
-            end[stack.pop()] = len(segments)
+            node = stack.pop()
+            end[node] = len(segments)
+            if stack:
+                depths[tags[node]].pop()
 
     def close_open(names: frozenset, bounds: frozenset) -> None:
-        outermost = 0
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[depth]]
-            if tag in bounds:
-                break
-            if tag in names:
-                outermost = depth
-        if outermost:
+        bound = max((depths[x][-1] for x in bounds if depths.get(x)), default=0)
+        outermost = None
+        for x in names:
+            mine = depths.get(x)
+            if mine and mine[-1] > bound:
+                first = mine[bisect_right(mine, bound)]
+                outermost = first if outermost is None else min(outermost, first)
+        if outermost is not None:
             close_to(outermost)
 
     def text(part: str) -> None:
@@ -93,10 +99,8 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if m.group(2):
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == name:
-                    close_to(depth)
-                    break
+            if depths.get(name):
+                close_to(depths[name][-1])
             if name in BLOCK:
                 text("\n")
             continue
@@ -116,6 +120,7 @@ def parse(source: str) -> Page:
         if name == "body" and not page.body:
             page.body = node
         if name not in VOID:
+            depths.setdefault(name, []).append(len(stack))
             stack.append(node)
     text(source[at:])
     close_to(0)
@@ -214,7 +219,7 @@ def extract(source: str) -> Content:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, 1 << 22)):
         found = [None if x is None else extract(x) for x in batch.column(1).to_pylist()]
         columns = [
             pa.array([f and f.text for f in found], pa.string()),
@@ -230,7 +235,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """(page_id, text, n_chars, path, density_sum, threshold) of each row: the content of its page and the tags on the way to it.
 
     Of a null page all but the id is null; an empty page, or one without text, gives the empty text. Ties go to the node that
-    begins first. Rows are taken each by itself, so repeated rows agree and null ids stay. An empty table gives no rows.
+    begins first. A page may be of any length and depth. Rows are taken each by itself, so repeated rows agree and null ids stay. An empty table gives no rows.
     """
     plain = pages.select(col(pages, id_col).cast("long").alias("page_id"), col(pages, html_col).cast("string").alias("html"))
     return plain.mapInArrow(_run, "page_id long, text string, n_chars int, path string, density_sum double, threshold double")

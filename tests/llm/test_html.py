@@ -87,7 +87,7 @@ def test_odd_pages(source, text):
 
 
 def test_quadratic_cases_end():
-    for source in ("<" * 50_000, "<a " * 20_000, "<div>" * 3_000 + "x", "<!--" * 20_000, "</p>" * 20_000, '<a b="' * 5_000):
+    for source in ("<" * 50_000, "<a " * 20_000, "<div>" * 50_000 + "x", "<p><b>" * 20_000 + "x", "<ul><li>" * 20_000 + "</li>" * 20_000, "<div>" * 20_000 + "</p></div>" * 20_000, "<!--" * 20_000, "</p>" * 20_000, '<a b="' * 5_000):
         html.extract(source)
 
 
