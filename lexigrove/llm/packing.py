@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import slices
-from ..storage import cut
+from ..storage import checked_broadcast, cut
 from . import words
 from .common import int_text, ranges
 
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     Every word (run of anything but ASCII white space) of every text is in exactly one row's [start_word, end_word); each row takes one place more for
     its end mark; window_load is the sum over the window. Null and empty texts have no rows. Rows with a null id or with an id that others
-    have are packed like any other. Ties in size go by id, then by place. Needs a capacity of at least 2. An empty table gives no rows.
+    have, however many, are packed like any other, and so are texts of any length. Ties in size go by id, then by place. Needs a capacity of at least 2. An empty table gives no rows.
     """
     if capacity < 2:
         raise ValueError("a window needs room for a word and an end mark")
@@ -151,5 +151,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     total = pieces.agg(F.sum(F.col("end_word") - F.col("start_word") + 1).cast("long")).first()[0] or 0
     bins = max(1, round(total / capacity / GROUP_WINDOWS))
     spread = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start_word"), F.lit(bins)))
+    # rows without an id, or with one that many have, meet in one group: it is split by the place in the written table
+    room = 4 * GROUP_WINDOWS * capacity
+    load = spread.groupBy("bin").agg(F.sum(F.col("end_word") - F.col("start_word") + 1).alias("load"))
+    hot = cut(load.where(F.col("load") > room).select("bin", F.ceil(F.col("load") / (GROUP_WINDOWS * capacity)).alias("parts")))
+    more = hot.agg(F.max("parts")).first()[0] or 0
+    if more:
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+        spread = spread.join(checked_broadcast(hot, 32), "bin", "left").withColumn("bin", F.col("bin") + part * bins).drop("parts")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # few bytes, much work: as many tasks as asked for, which adaptive execution would merge
+    spread = spread.repartition(min(max(bins, more), max(4 * cores, bins // 8)), "bin")
     schema = "window_id long, slot int, doc_id long, start_word int, end_word int, window_load long"
     return spread.groupBy("bin").applyInArrow(_solve(capacity), schema)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,3 +79,12 @@ def test_empty_table_and_bad_capacity(spark):
     assert packing.pack(docs).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, capacity=1)
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_without_or_with_one_id_are_spread(spark, key):
+    docs = spark.range(200_000).selectExpr(f"cast({'null' if key is None else key} as long) as doc_id", "repeat('w ', int(id % 9) + 1) as text").repartition(4)
+    began = time.time()
+    out = packing.pack(docs)
+    most = out.selectExpr("window_id >> 24 as bin", "window_id", "window_load").groupBy("bin").count().agg({"count": "max"}).first()[0]
+    assert most < 30_000 and out.agg({"window_load": "max"}).first()[0] <= packing.CAPACITY and time.time() - began < 90
