@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,30 +150,37 @@ def _search(path: str, width: int, k: int):
     return search
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): for every vector the k others of the greatest inner product, exactly; ties by the lesser id.
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_step: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): for each query the k other vectors of the greatest inner product, exactly; ties by the lesser id.
 
-    Left out, as queries and as neighbours: null ids, null or empty vectors, vectors with a null, NaN or infinite entry, and those that haven't the
-    most frequent length of all (the longer, if two are as frequent). Of several vectors with one id the greatest, in array order, counts. A vector isn't its own
-    neighbour; with fewer than k others, all are returned. An empty table gives no rows. Products are compared after rounding to DIGITS digits.
+    Queries are the vectors whose id query_step divides (1: all). Vectors of one length are searched among each other, each length apart. Left out, as queries and
+    as neighbours: null ids, null or empty vectors, vectors with a null, NaN or infinite entry. Of several vectors with one id the longest counts, of these the
+    greatest in array order. A vector isn't its own neighbour; with fewer than k others, all are returned. An empty table gives no rows. Products
+    are compared after rounding to DIGITS digits. There is a search, of a few jobs, for each length that a query has.
     """
     spark = vectors.sparkSession
-    if k < 1:
-        raise ValueError("k must be positive")
+    if k < 1 or query_step < 1:
+        raise ValueError("k and query_step must be positive")
     schema = "vec_id long, rank int, neighbor_id long, score double"
     plain = vectors.select(col(vectors, id_col).cast("long").alias("id"), col(vectors, vector_col).cast("array<double>").alias("vector"))
     sound = plain.where("id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    size = sound.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    if size is None:
+    best = sound.groupBy("id").agg(F.max(F.struct(F.size("vector").alias("width"), "vector")).alias("x"))
+    one = cut(best.select("id", "x.width", "x.vector"))
+    widths = one.where(F.col("id") % query_step == 0).select("width").distinct().orderBy("width").collect()
+    found = [_top_k(one.where(F.col("width") == r.width).select("id", "vector"), r.width, k, query_step, schema) for r in widths]
+    if not found:
         return spark.createDataFrame([], schema)
-    width = size.width
-    one = cut(sound.where(F.size("vector") == width).groupBy("id").agg(F.max("vector").alias("vector")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _top_k(one: DataFrame, width: int, k: int, query_step: int, schema: str) -> DataFrame:
+    spark = one.sparkSession
     sums = one.mapInArrow(_gram(width), "row long, sums array<double>").groupBy("row").applyInArrow(_add, "row long, sums array<double>")
     gram = np.array([r.sums for r in sums.orderBy("row").collect()])
     axes = np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1])
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     rotated = one.mapInArrow(_rotate(axes), "id long, length double, vector binary")
     rotated.orderBy(F.desc("length"), "id").write.parquet(path)
-    queries = spark.read.schema("id long, length double, vector binary").parquet(path)
+    queries = spark.read.schema("id long, length double, vector binary").parquet(path).where(F.col("id") % query_step == 0)
     tasks = max(1, spark.sparkContext.defaultParallelism, queries.count() // (16 * QUERIES))
     return queries.select("id", "vector").repartition(tasks, "id").mapInArrow(_search(path, width, k), schema)

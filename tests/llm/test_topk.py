@@ -55,10 +55,18 @@ def test_blocks_are_pruned():
 
 def test_what_is_left_out(spark):
     good = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
-    rows = [(i, v, 0, "x") for i, v in good.items()] + [(None, [9.0, 9.0], 0, "x"), (4, None, 0, "x"), (5, [], 0, "x"), (6, [1.0], 0, "x"), (7, [1.0, None], 0, "x"), (8, [1.0, float("nan")], 0, "x"), (9, [1.0, float("inf")], 0, "x"), (3, [0.5, 9.0], 0, "x"), (3, [1.0, 1.0], 0, "x")]
+    rows = [(i, v, 0, "x") for i, v in good.items()] + [(None, [9.0, 9.0], 0, "x"), (4, None, 0, "x"), (5, [], 0, "x"), (6, [1.0], 0, "x"), (7, [1.0, None], 0, "x"), (8, [1.0, float("nan")], 0, "x"), (9, [1.0, float("inf")], 0, "x"), (3, [0.5, 9.0], 0, "x"), (3, [1.0, 1.0], 0, "x"), (3, [7.0], 0, "x")]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()))
     assert got == brute({k: np.array(v) for k, v in good.items()}, 10)
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     assert topk.top_k(spark.createDataFrame(rows[:1], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         topk.top_k(spark.createDataFrame([], SCHEMA), k=0)
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_each_length_is_searched_apart(spark, step):
+    r = np.random.default_rng(5)
+    groups = [{i: r.normal(size=w) for i in range(w, 90, 3)} for w in (3, 4, 5)]
+    want = [row for g in groups for row in brute({i: np.float32(v).astype(float) for i, v in g.items()}, 10) if row[0] % step == 0]
+    assert sorted(map(tuple, topk.top_k(frame(spark, {i: v for g in groups for i, v in g.items()}), query_step=step).collect())) == sorted(want)
