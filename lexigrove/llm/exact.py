@@ -20,6 +20,8 @@ from ..storage import checked_broadcast, cut
 from .common import col, fresh, int_text
 
 _U = np.uint64
+#: Fingerprints of a slice, at most about so many: what a merging task holds doesn't grow with the table.
+SLICE_ROWS = 1 << 20
 
 
 @dataclass
@@ -141,9 +143,9 @@ def _merge_filters(table: pa.Table) -> pa.Table:
     return pa.table({"fp": pa.array(full.view(np.int64)), "n": pa.array(counts[more], pa.int64())})
 
 
-def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """(fp, n) of the fingerprints counted more than once, from a frame with the one long column fp."""
-    slice_bits = max(1, (int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
+    """(fp, n) of the fingerprints counted more than once, from a frame with the one long column fp and so many rows."""
+    slice_bits = max(1, (int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (rows // SLICE_ROWS).bit_length())
     filters = fingerprints.mapInArrow(_build_filters(slice_bits), "slice long, filter binary")
     return filters.groupBy("slice").applyInArrow(_merge_filters, "fp long, n long")
 
@@ -157,7 +159,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep true). Rows that repeat an id with its text all get the same answer. An empty table gives no rows.
     """
     lean = int_text(docs, id_col, text_col).withColumn("fp", F.xxhash64("text"))
-    repeats = cut(repeated_fingerprints(lean.where("text is not null").select("fp")))
+    repeats = cut(repeated_fingerprints(lean.where("text is not null").select("fp"), lean.count()))
     routed = lean.where("text is not null").join(checked_broadcast(repeats.select("fp"), 24), "fp", "left_semi")
     texts = cut(routed.groupBy("fp", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")))
     variants = texts.groupBy("fp").agg(F.count("*").alias("variants"), F.first("keep_id").alias("keep_id"), F.first("copies").alias("copies"))
@@ -180,18 +182,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, one row of each text: the one with the least id (null ids last; among equal ids any one row).
+    """docs, one row of each text: the one with the least id (null ids last), among equal ids the one whose other columns come first as a JSON object.
 
-    A null text equals no other, so its rows all stay. Other columns, whatever their names, go with their row.
+    So the row kept doesn't depend on how docs is partitioned. Texts may be of any length. A null text equals no other, so its rows all stay. Other columns, whatever their names, go with their row.
     """
     fp, rank, row = fresh(docs, "fp", "fp_rank", "fp_row")
     text = col(docs, text_col)
     marked = docs.withColumn(fp, F.when(text.isNotNull(), F.xxhash64(text.cast("string"))))
-    repeats = cut(repeated_fingerprints(marked.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"))))
+    repeats = cut(repeated_fingerprints(marked.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")), docs.count()))
     small = checked_broadcast(repeats.select(F.col("fp").alias(fp)), 24)
     single = marked.join(small, fp, "left_anti").select(*[col(docs, c) for c in docs.columns])
     routed = marked.join(small, fp, "left_semi")
-    best = routed.withColumn(rank, F.coalesce(col(docs, id_col).cast("long"), F.lit((1 << 63) - 1)))
+    others = F.to_json(F.struct(F.lit(0).alias(fp), *[col(docs, c).alias(c) for c in docs.columns if c.lower() != text_col.lower()]))
+    key = col(docs, id_col).cast("long")
+    best = routed.withColumn(rank, F.struct(key.isNull(), key, others))
     held = F.struct(*[col(docs, c).alias(c) for c in docs.columns])
     kept = best.groupBy(fp, text).agg(F.min_by(held, F.col(rank)).alias(row)).select(f"{row}.*")
     return single.unionByName(kept)

@@ -69,3 +69,16 @@ def test_clashing_fingerprints_are_told_apart(spark, monkeypatch):
 @pytest.mark.parametrize("f", [exact.exact_groups, exact.exact_dedup])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_row_kept_does_not_depend_on_the_partitioning(spark):
+    rows = [(1, "t", src, n) for src in ("r", "q", "s", None) for n in (3, 2)] + [(None, "u", "b", 1), (None, "u", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {tuple(sorted(map(tuple, exact.exact_dedup(docs.repartition(n, "fp", "n")).collect()), key=str)) for n in (1, 2, 3, 4)}
+    assert kept == {((1, "t", "q", 2), (None, "u", "a", 1))}
+
+
+def test_more_slices_than_partitions(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('t', id % 1000) as text")
+    lean = docs.selectExpr("xxhash64(text) as fp")
+    assert exact.repeated_fingerprints(lean, 1 << 26).groupBy("n").count().collect() == [(3, 1000)]
