@@ -27,6 +27,8 @@ FIT_ROWS = 20_000
 #: One labelled row in so many is held out for the calibration.
 HELD_OUT = 4
 FEATURES, RIDGE, SEED = 256, 1.0, 4711
+#: Standardised statistics beyond so many deviations count as so many, in the fit and in scoring, so that one outlying figure can't outweigh all others.
+CLIP = 6.0
 #: A word, or a beginning of one with so many bytes, enters the lexicon if so many labelled texts have it, with log-odds of at least so much.
 LEAST_DOCS, LEAST_ODDS, PREFIXES = 8, 1.0, (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
@@ -176,7 +178,7 @@ def fourier(x: np.ndarray, features: int = FEATURES) -> np.ndarray:
     r = np.random.default_rng(SEED)
     w = r.normal(size=(x.shape[1], features)) / np.sqrt(x.shape[1])
     phase = r.uniform(0, 2 * np.pi, features)
-    wave = np.sqrt(2 / features) * np.cos(np.clip(x, -6, 6) @ w + phase)
+    wave = np.sqrt(2 / features) * np.cos(np.clip(x, -CLIP, CLIP) @ w + phase)
     return np.hstack([wave, np.ones((len(x), 1))])
 
 
@@ -296,7 +298,7 @@ def _score(model: Model | None, text_at: int, threshold: float, keep_only: bool)
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """For each row (doc_id, probability, keep): how probably the document is good, and whether that reaches threshold.
 
-    A null text, or one without a word, has probability 0. Each row is scored by itself, so repeated rows agree and null ids do no harm. If the
+    A null text, or one without a word, has probability 0. A text may be of any length; statistics beyond CLIP deviations count as CLIP. Each row is scored by itself, so repeated rows agree and null ids do no harm. If the
     labelled documents are all good or all bad (or there are none), nothing is learned: probabilities are null and each text with a word is kept.
     An empty table gives no rows.
     """
