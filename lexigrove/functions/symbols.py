@@ -23,8 +23,8 @@ def visible(text: Column) -> Column:
 
 
 def sort_key(suffix: Column) -> Column:
-    """A key in whose byte order the terminator comes first, then the separator, then all else."""
-    return F.translate(suffix, TERMINATOR + SEPARATOR, "\u0000\u0001")
+    """A key in whose byte order the terminator comes first, then the separator, then all else; the lowest characters step aside for them."""
+    return F.translate(F.regexp_replace(suffix, "([\u0000-\u0002])", "\u0002$1"), TERMINATOR + SEPARATOR, "\u0000\u0001")
 
 
 def utf16_length(text: Column) -> Column:

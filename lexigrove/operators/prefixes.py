@@ -19,19 +19,21 @@ PARTS = (1 << 16, 128)
 FEW_TARGETS = 100_000
 
 
-def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, targets: DataFrame | None = None, step: int = 1, compat: bool = False) -> DataFrame:
+def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, targets: DataFrame | None = None, step: int = 1, compat: bool = False, short: bool = False) -> DataFrame:
     """(doc_id, pos, prefix): the windows of so many characters, from every place (from 0) of every text.
 
     exclude_newlines leaves out windows with a line feed or carriage return. targets, (prefix), keeps the windows whose first width - step
-    characters are in it. compat keeps only characters of one or three UTF-8 bytes at width 1.
+    characters are in it. compat keeps only characters of one or three UTF-8 bytes at width 1. short: also the windows that the text's end cuts off.
     """
-    parts = corpus.select("doc_id", F.lit(0).alias("base"), "text")
+    places = F.length("text") if short else F.greatest(F.length("text") - (width - 1), F.lit(0))
+    parts = corpus.select("doc_id", F.lit(0).alias("base"), "text", places.alias("own"))
     for size in PARTS:
-        many = F.ceil(F.greatest(F.length("text") - (width - 1), F.lit(0)) / size).cast("int")
+        many = F.ceil(F.col("own") / size).cast("int")
         starts = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
-        cuts = parts.select("doc_id", "base", "text", F.explode(starts).alias("part"))
-        parts = cuts.select("doc_id", (F.col("base") + F.col("part") * size).alias("base"), F.substring("text", F.col("part") * size + 1, F.lit(size + width - 1)).alias("text"))
-    places = parts.select("doc_id", "base", "text", F.explode(F.sequence(F.lit(1), F.length("text") - (width - 1))).alias("p"))
+        cuts = parts.select("doc_id", "base", "text", "own", F.explode(starts).alias("part"))
+        rest = F.least(F.lit(size), F.col("own") - F.col("part") * size)
+        parts = cuts.select("doc_id", (F.col("base") + F.col("part") * size).alias("base"), F.substring("text", F.col("part") * size + 1, F.lit(size + width - 1)).alias("text"), rest.alias("own"))
+    places = parts.select("doc_id", "base", "text", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("p"))
     found = places.select("doc_id", (F.col("base") + F.col("p") - 1).cast("long").alias("pos"), F.substring("text", F.col("p"), F.lit(width)).alias("prefix"))
     if exclude_newlines:
         found = found.where(~F.col("prefix").rlike("[\r\n]"))

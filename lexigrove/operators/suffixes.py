@@ -1,25 +1,32 @@
-"""Suffixes of each prefix in order, with their longest common prefixes.
+"""Suffixes of each prefix in order, with their longest common prefixes, and the sub-trees over them.
 
-Short texts: suffixes are sorted as strings within their prefix's bucket. Long ones: global ranks by prefix doubling, in which
-nothing longer than a few characters is ever moved; a rank that is unique leaves the loop.
+A corpus of at most BLOCK_CHARS characters is a block, which each task can hold: the tasks share out the prefixes. Beyond that, global
+ranks come by prefix doubling, in which nothing longer than a few characters is ever moved. Both give the same rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from os.path import commonprefix
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.symbols import sort_key
-from ..storage import checked_broadcast, cut
+from ..functions.symbols import SEPARATOR, TERMINATOR, sort_key
+from ..storage import checked_broadcast, cut, cut_path
+from . import tree
+from .block import Block, buckets, suffix_order
 from .prefixes import windows
 
-#: Texts of up to so many characters have their suffixes written out.
-LONGEST_DIRECT = 2048
+#: Characters of a block. A worker holds some 20 bytes for each, and TASK_SUFFIXES suffixes at 150 bytes.
+BLOCK_CHARS, TASK_SUFFIXES = 32_000_000, 1_500_000
 #: Characters of the first ranks.
 FIRST = 8
 
@@ -37,21 +44,6 @@ def bucketed(corpus: DataFrame, prefixes: DataFrame) -> DataFrame:
     return found.select("prefix", "doc_id", "pos")
 
 
-def _lcp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("suffix").to_pylist(), batch.column("before").to_pylist(), strict=True)
-        lcp = pa.array([0 if b is None else len(commonprefix((a, b))) for a, b in pairs], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("prefix", "rank", "doc_id", "pos")] + [lcp], ["prefix", "rank", "doc_id", "pos", "lcp"])
-
-
-def _direct(corpus: DataFrame, prefixes: DataFrame) -> DataFrame:
-    texts = corpus.select("doc_id", "text")
-    sized = bucketed(corpus, prefixes).join(texts, "doc_id").select("prefix", "doc_id", "pos", F.expr("substring(text, int(pos) + 1)").alias("suffix"))
-    order = Window.partitionBy("prefix").orderBy(sort_key(F.col("suffix")), "doc_id", "pos")
-    ranked = sized.select("prefix", (F.row_number().over(order) - 1).cast("long").alias("rank"), "doc_id", "pos", "suffix", F.lag("suffix").over(order).alias("before"))
-    return ranked.mapInArrow(_lcp, "prefix string, rank long, doc_id long, pos long, lcp int")
-
-
 def _dense(df: DataFrame, key: Column) -> DataFrame:
     """df with rank: how many rows have a smaller key. Range-partitioned; one total per partition meets on the driver."""
     placed = cut(df.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
@@ -64,13 +56,13 @@ def _dense(df: DataFrame, key: Column) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn("rank", (F.col("_before") + inside).cast("long")).drop("_key", "_part", "_before")
 
 
-def doubled_ranks(corpus: DataFrame) -> list[tuple[int, DataFrame]]:
+def doubled_ranks(corpus: DataFrame, joined: bool = False) -> list[tuple[int, DataFrame]]:
     """Rounds (h, (doc_id, pos, rank)): ranks of all suffixes by their first h characters, equal ones equal; in the last round only equal suffixes are.
 
     A round pairs each rank that others share with the rank h places on (none: the text ends there) and ranks the pairs within the shared rank.
     """
-    padded = corpus.select("doc_id", F.concat("text", F.repeat(F.lit("\u0000"), F.lit(FIRST - 1))).alias("text"))
-    ranks = cut(_dense(windows(padded, FIRST, exclude_newlines=False).select("doc_id", "pos", "prefix"), sort_key(F.col("prefix"))).select("doc_id", "pos", "rank"))
+    heads = windows(corpus, FIRST, exclude_newlines=False, short=True).select("doc_id", "pos", "prefix")
+    ranks = cut(_dense(heads, sort_key(F.col("prefix")) if joined else F.col("prefix")).select("doc_id", "pos", "rank"))
     longest = corpus.agg(F.max(F.length("text"))).first()[0] or 0
     rounds, h = [(FIRST, ranks)], FIRST
     while h < longest:
@@ -88,8 +80,8 @@ def doubled_ranks(corpus: DataFrame) -> list[tuple[int, DataFrame]]:
     return rounds
 
 
-def _doubled(corpus: DataFrame, prefixes: DataFrame) -> DataFrame:
-    rounds = doubled_ranks(corpus)
+def _doubled(corpus: DataFrame, prefixes: DataFrame, joined: bool) -> DataFrame:
+    rounds = doubled_ranks(corpus, joined)
     placed = bucketed(corpus, prefixes).join(rounds[-1][1], ["doc_id", "pos"])
     order = Window.partitionBy("prefix").orderBy("rank", "doc_id", "pos")
     pairs = placed.select("prefix", "doc_id", "pos", (F.row_number().over(order) - 1).cast("long").alias("at"), F.lag("doc_id").over(order).alias("d2"), F.lag("pos").over(order).alias("p2"))
@@ -111,16 +103,110 @@ def _doubled(corpus: DataFrame, prefixes: DataFrame) -> DataFrame:
     return ends.select("prefix", F.col("at").alias("rank"), "doc_id", "pos", F.coalesce(within, F.lit(0)).cast("int").alias("lcp"))
 
 
-def suffix_array(corpus: DataFrame, prefixes: DataFrame, strategy: str = "auto", max_positions: int | None = None) -> DataFrame:
+@lru_cache(maxsize=1)
+def _block(path: str, special: str) -> Block:
+    """The texts of a written table, by doc_id (null first)."""
+    system, root = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    rows = pa.concat_tables(pyarrow.parquet.read_table(f, filesystem=system, columns=["doc_id", "text"]) for f in files)
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")], null_placement="at_start"))
+    return Block.of(rows["doc_id"].combine_chunks(), rows["text"].to_pylist(), special)
+
+
+@lru_cache(maxsize=1)
+def _places(path: str, special: str, prefixes: tuple[str, ...], terminator: str | None) -> np.ndarray:
+    return buckets(_block(path, special), list(prefixes), terminator)
+
+
+def _build(path: str, special: str, prefixes: list[str], task_of: np.ndarray, terminator: str | None, end: int, max_positions: int | None):
+    names = tuple(prefixes)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in (x for batch in batches for x in batch.column(0).to_pylist()):
+            block, found = _block(path, special), _places(path, special, names, terminator)
+            at = np.flatnonzero(np.append(task_of == task, False)[found])
+            if max_positions is not None:
+                by = np.argsort(found[at], kind="stable")
+                number = found[at[by]]
+                at = at[by[np.arange(len(by)) - np.searchsorted(number, number) < max_positions]]
+            place, lcp = suffix_order(block, at)
+            number = found[place]
+            begins = np.ones(len(place), bool)
+            begins[1:] = number[1:] != number[:-1]
+            lcp[begins] = 0
+            doc = block.doc(place)
+            ids = block.ids.take(pa.array(doc))
+            valid = None if not ids.null_count else ids.is_valid().to_numpy(zero_copy_only=False)
+            room = block.end[doc] - place
+            out = tree.table(pa.array(names, pa.string()).take(pa.array(number)), lcp, room, place - block.begin[doc], ids.fill_null(0).to_numpy(zero_copy_only=False), valid, begins, end)
+            yield from out.to_batches(max_chunksize=1 << 16)
+
+    return build
+
+
+def _shared_out(frequencies: list[int], tasks: int) -> np.ndarray:
+    """A task for each prefix, the most frequent first to the least loaded."""
+    heap = [(0, t) for t in range(tasks)]
+    out = np.zeros(len(frequencies), np.int64)
+    for i in np.argsort(-np.array(frequencies, np.int64), kind="stable").tolist():
+        load, t = heap[0]
+        out[i] = t
+        heapq.heapreplace(heap, (load + frequencies[i], t))
+    return out
+
+
+def _in_block(corpus: DataFrame, prefixes: DataFrame, boundary: str, special: str, terminator: str | None, max_positions: int | None) -> DataFrame:
+    spark = corpus.sparkSession
+    _, path = cut_path(corpus.select("doc_id", "text"))
+    # a block's prefixes are bounded as the block is; without a frequency they count alike
+    counted = prefixes if "frequency" in prefixes.columns else prefixes.withColumn("frequency", F.lit(1))
+    rows = [(r.prefix, r.frequency) for r in counted.select("prefix", "frequency").collect() if r.prefix]
+    total = sum(f for _, f in rows)
+    tasks = max(1, min(len(rows), max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_SUFFIXES))))
+    task_of = _shared_out([f for _, f in rows], tasks)
+    build = _build(path, special, [p for p, _ in rows], task_of, terminator, 1 if boundary == "document" else 0, max_positions)
+    return spark.range(tasks, numPartitions=tasks).mapInArrow(build, tree.ELEMENTS)
+
+
+def _few_characters(corpus: DataFrame) -> bool:
+    return (corpus.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0) <= BLOCK_CHARS
+
+
+def index_elements(corpus: DataFrame, prefixes: DataFrame, boundary: str = "document", complete: bool = False, max_positions: int | None = None, strategy: str = "auto") -> DataFrame:
+    """The suffixes of each prefix in order and the sub-trees over them, in one table; see tree.elements.
+
+    boundary superstring: corpus is one text with separators and a terminator. complete: a prefix may end in the terminator, which stands for a text's end.
+    """
+    joined = boundary == "superstring"
+    if strategy == "block" or (strategy == "auto" and _few_characters(corpus)):
+        return _in_block(corpus, prefixes, boundary, TERMINATOR + SEPARATOR if joined else "", TERMINATOR if complete and not joined else None, max_positions)
+    if complete and not joined:
+        ended = corpus.withColumn("text", F.concat("text", F.lit(TERMINATOR)))
+        return tree.elements(_without_terminators(_sorted(ended, prefixes, True, max_positions), corpus), corpus, boundary)
+    return tree.elements(_sorted(corpus, prefixes, joined, max_positions), corpus, boundary)
+
+
+def _without_terminators(array: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Common prefixes of texts with a terminator behind, as of the texts without: equal suffixes had the terminator in common too."""
+    size = corpus.select("doc_id", F.length("text").alias("_n"))
+    cutoff = array.join(size, "doc_id").withColumn("lcp", F.least(F.col("lcp"), (F.col("_n") - F.col("pos")).cast("int")))
+    return cutoff.drop("_n").select("prefix", "rank", "doc_id", "pos", "lcp")
+
+
+def suffix_array(corpus: DataFrame, prefixes: DataFrame, strategy: str = "auto", max_positions: int | None = None, joined: bool = False) -> DataFrame:
     """(prefix, rank, doc_id, pos, lcp): for each prefix its suffixes in order, equal ones by doc_id and pos; lcp with the one before, 0 for the first.
 
-    A text's end comes before any character. strategy: direct, doubling, or auto, which takes the first for texts of at most LONGEST_DIRECT characters.
+    A text's end comes before any character. joined: in the texts the terminator comes first, then the separator, then all else. strategy: block, doubling, or
+    auto, which takes the first for a corpus of at most BLOCK_CHARS characters; the rows are the same.
     max_positions keeps of each prefix only the first suffixes by doc_id and pos.
     """
-    if strategy == "auto":
-        longest = corpus.agg(F.max(F.length("text"))).first()[0] or 0
-        strategy = "direct" if longest <= LONGEST_DIRECT else "doubling"
-    found = {"direct": _direct, "doubling": _doubled}[strategy](corpus, prefixes)
+    if strategy == "block" or (strategy == "auto" and _few_characters(corpus)):
+        return tree.suffixes(_in_block(corpus, prefixes, "document", TERMINATOR + SEPARATOR if joined else "", None, max_positions))
+    return _sorted(corpus, prefixes, joined, max_positions)
+
+
+def _sorted(corpus: DataFrame, prefixes: DataFrame, joined: bool, max_positions: int | None) -> DataFrame:
+    found = _doubled(corpus, prefixes, joined)
     if max_positions is None:
         return found
     first = F.row_number().over(Window.partitionBy("prefix").orderBy("doc_id", "pos"))

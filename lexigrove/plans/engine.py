@@ -44,17 +44,14 @@ class SuffixIndex:
         size = corpus.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
         limit = config.resolved_limit(size)
         joined = config.boundary == "superstring"
+        if config.complete and not joined and not corpus.where(F.contains("text", F.lit(TERMINATOR))).isEmpty():
+            raise ValueError("a text has the terminator in it, which complete needs for texts' ends")
         found, width = prefixes_of.discover(corpus, limit, config.max_window, config.window, config.step, config.exclude_newlines, superstring=joined, complete=config.complete and not joined)
         found = cut(found)
-        # a suffix that ends within its window is found by the terminator behind its text
-        text = superstring(corpus) if joined else corpus.withColumn("text", F.concat("text", F.lit("\ue001"))) if config.complete else corpus
-        array = suffixes_of.suffix_array(text, found, max_positions=config.max_positions)
-        if config.complete and not joined:
-            array, text = _without_terminators(array, corpus), corpus
-        array = cut(array)
-        pieces = cut(tree.elements(array, text, config.boundary))
+        text = superstring(corpus) if joined else corpus
+        pieces = cut(suffixes_of.index_elements(text, found, config.boundary, config.complete, config.max_positions))
         return cls(
-            config, corpus, found, groups_of.allocate(found, limit, config.num_workers), array, tree.nodes(pieces, text), tree.edges(pieces, text),
+            config, corpus, found, groups_of.allocate(found, limit, config.num_workers), tree.suffixes(pieces), tree.nodes(pieces, text), tree.edges(pieces, text),
             boundaries(corpus), tree.index_stats(pieces, found, limit, width), prefixes_of.uncovered(corpus, found),
         )
 
@@ -65,13 +62,6 @@ class SuffixIndex:
         write_index(self.tables(), path, kind)
 
 
-def _without_terminators(array: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Common prefixes of texts with a terminator behind, as of the texts without: equal suffixes had the terminator in common too."""
-    size = corpus.select("doc_id", F.length("text").alias("_n"))
-    cutoff = array.join(size, "doc_id").withColumn("lcp", F.least(F.col("lcp"), (F.col("_n") - F.col("pos")).cast("int")))
-    return cutoff.drop("_n").select("prefix", "rank", "doc_id", "pos", "lcp")
-
-
 class NotFound(KeyError):
     """No such job, or no such group."""
 

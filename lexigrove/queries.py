@@ -31,12 +31,9 @@ def _query(sql: str | None = None):
     return add
 
 
-def _corpus(spark: SparkSession, sf_dir: str, table: str, key: str, text: str, distinct: bool = False) -> DataFrame:
+def _corpus(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
     prepare(spark)
-    df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-    if distinct:
-        df = df.groupBy(text).agg(F.min(key).alias(key))
-    return corpora.corpus_from(df, key, text)
+    return corpora.corpus_from(spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")), key, text)
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +231,7 @@ def contains_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUFFIXES = {
     "nation": "select n_nationkey::bigint as d, n_name as x from nation",
     "region": "select r_regionkey::bigint as d, r_name as x from region",
-    "part": "select min(p_partkey) as d, p_name as x from part group by p_name",
-    "part_rows": "select p_partkey::bigint as d, p_name as x from part",
+    "part": "select p_partkey::bigint as d, p_name as x from part",
     "benchmark": "select item_id as d, text as x from benchmark",
 }
 _COLUMNS = {"nation": ("n_nationkey", "n_name"), "region": ("r_regionkey", "r_name"), "part": ("p_partkey", "p_name"), "benchmark": ("item_id", "text")}
@@ -255,19 +251,18 @@ def _single(corpus: DataFrame) -> DataFrame:
     return prefixes.window_counts(corpus, 1)
 
 
-def _add_suffix_array(name: str, table: str, strategy: str, sql: str | None = None, distinct: bool = False) -> None:
+def _add_suffix_array(name: str, table: str, strategy: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        corpus = cut(_corpus(spark, sf_dir, table, *_COLUMNS[table], distinct=distinct))
-        return suffixes.suffix_array(corpus, _single(corpus), strategy)
+        corpus = cut(_corpus(spark, sf_dir, table, *_COLUMNS[table]))
+        return suffixes.suffix_array(corpus, cut(_single(corpus)), strategy)
 
     run.__name__ = name
-    _query(_suffix_sql(sql or table))(run)
+    _query(_suffix_sql(table))(run)
 
 
 _add_suffix_array("suffix_array", "nation", "auto")
 _add_suffix_array("suffix_array_region", "region", "auto")
-_add_suffix_array("suffix_array_part", "part", "auto", distinct=True)  # of the distinct names; every row: suffix_array_part_rows
-_add_suffix_array("suffix_array_part_rows", "part", "auto", sql="part_rows")
+_add_suffix_array("suffix_array_part", "part", "auto")
 _add_suffix_array("suffix_array_doubling", "benchmark", "doubling")
 
 
@@ -279,7 +274,7 @@ select case prefix when chr(57344) then '#' when chr(57345) then '$' else prefix
 def suffix_array_superstring(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _nation(spark, sf_dir)
     found, _ = prefixes.discover(corpus, 10_000, superstring=True)
-    array = suffixes.suffix_array(cut(corpora.superstring(corpus)), found)
+    array = suffixes.suffix_array(cut(corpora.superstring(corpus)), found, joined=True)
     return array.select(visible(F.col("prefix")).alias("prefix"), "rank", "pos")
 
 
@@ -302,7 +297,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     """The corpus of nations, its prefixes, and the elements of its trees."""
     corpus = cut(_nation(spark, sf_dir))
     single = cut(_single(corpus))
-    return corpus, single, cut(tree.elements(suffixes.suffix_array(corpus, single), corpus))
+    return corpus, single, cut(suffixes.index_elements(corpus, single))
 
 
 def _labelled(corpus: DataFrame, found: DataFrame) -> DataFrame:

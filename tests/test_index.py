@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lexigrove.functions import sizing
-from lexigrove.operators import allocate, prefixes, search, suffixes, tree, trie
+from lexigrove.operators import allocate, block, prefixes, search, suffixes, tree, trie
 from lexigrove.plans.engine import Jobs, NotFound, NotReady, SuffixIndex
 from lexigrove.sources import corpus as corpora
 
@@ -118,15 +121,59 @@ def test_complete_covers_every_suffix_but_newlines(spark):
     assert index.suffixes.count() == index.prefixes.agg({"frequency": "sum"}).first()[0]
 
 
-def test_doubling_equals_sorting(spark):
+@pytest.mark.parametrize("most", [None, 3])
+def test_doubling_equals_the_block(spark, most):
     r = random.Random(5)
     long = "".join(r.choice("ab") for _ in range(300))
-    c = corpus(spark, long, long[:200], long[100:], "é😀" * 30, "", "b")
+    c = corpus(spark, long, long[:200], long[100:], "é😀" * 30, "", "b", "a\0", "a", "a\0b", "\ue001a\ue000", "a\0\0", "\0")
     single = prefixes.window_counts(c, 1)
-    rows = lambda s: sorted(map(tuple, suffixes.suffix_array(c, single, s).collect()))
-    assert rows("doubling") == rows("direct")
-    few = suffixes.suffix_array(c, single, "direct", max_positions=3)
-    assert {x["count"] for x in few.groupBy("prefix").count().collect()} <= {1, 2, 3}
+    rows = lambda s: sorted(map(tuple, suffixes.suffix_array(c, single, s, max_positions=most).collect()))
+    assert rows("doubling") == rows("block")
+    assert most is None or {x["count"] for x in suffixes.suffix_array(c, single, "block", max_positions=most).groupBy("prefix").count().collect()} <= {1, 2, 3}
+
+
+@pytest.mark.parametrize("options", [{"memory_limit": 100}, {"memory_limit": 100, "complete": True}, {"boundary": "superstring", "memory_limit": 100}, {"memory_limit": 100, "max_positions": 7}])
+def test_a_build_beyond_a_block_is_the_same(spark, monkeypatch, options):
+    texts = [*texts_of(0), *texts_of(2), "ab" * 90, "b", "a\0", "a"]
+    rows = lambda: {n: sorted(map(tuple, df.collect()), key=str) for n, df in built(spark, *texts, **options).tables().items()}
+    block = rows()
+    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 10)
+    assert rows() == block
+
+
+def block_of(texts):
+    return block.Block.of(pa.array(range(len(texts))), texts)
+
+
+@pytest.mark.parametrize("packed", [2, 48])
+def test_order_of_a_block(monkeypatch, packed):
+    monkeypatch.setattr(block, "PACKED", packed)
+    r = random.Random(packed)
+    for _ in range(150):
+        letters = r.choice(["ab", "abc\0", "aé😀\n", "a"])
+        texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, r.choice([5, 40, 200])))) for _ in range(r.randrange(1, 8))]
+        texts += [r.choice(texts) for _ in range(3)]
+        b = block_of(texts)
+        place, lcp = block.suffix_order(b, np.flatnonzero(b.code > 0))
+        want = sorted((t[i:], d, i) for d, t in enumerate(texts) for i in range(len(t)))
+        doc = b.doc(place)
+        assert [(int(d), int(p)) for d, p in zip(doc, place - b.begin[doc], strict=True)] == [x[1:] for x in want]
+        assert lcp.tolist() == [0] * bool(want) + [len(os.path.commonprefix([x[0], y[0]])) for x, y in itertools.pairwise(want)]
+
+
+def test_buckets_of_a_block():
+    texts = ["banana", "", "ban", "nab\ue001"]
+    b = block_of(texts)
+    found = block.buckets(b, ["ba", "an", "a\ue001", "n", "zz", "b\ue001", ""], "\ue001")
+    at = {(int(b.doc(np.array([p]))[0]), int(p - b.begin[b.doc(np.array([p]))[0]])): int(found[p]) for p in np.flatnonzero(found >= 0)}
+    assert at == {(0, 0): 0, (0, 1): 1, (0, 3): 1, (0, 2): 3, (0, 4): 3, (0, 5): 2, (2, 0): 0, (2, 1): 1, (2, 2): 3, (3, 0): 3}
+    assert (block.buckets(b, []) == -1).all() and len(block.buckets(block_of([]), ["a"])) == 0
+
+
+def test_complete_refuses_the_terminator_in_a_text(spark):
+    with pytest.raises(ValueError):
+        built(spark, "a", "b\ue001c", complete=True)
+    assert built(spark, "a", "b\ue001c").suffixes.count() == 4
 
 
 def test_discovery_is_the_same_for_any_partitioning_and_ends(spark):

@@ -44,5 +44,5 @@ def test_suffix_array_of_parts_has_every_row(spark, tmp_path):
         found = sorted((t[p:], d, p) for d, t in rows for p in range(len(t or "")) if t[p] == prefix)
         for k, (x, d, p) in enumerate(found):
             want.append((prefix, k, d, p, len(os.path.commonprefix([x, found[k - 1][0]])) if k else 0))
-    got = queries.QUERIES["suffix_array_part_rows"](spark, str(tmp_path))
+    got = queries.QUERIES["suffix_array_part"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.select("prefix", "rank", "doc_id", "pos", "lcp").collect()) == sorted(want)
