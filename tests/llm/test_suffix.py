@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from lexigrove.llm import suffix
 
@@ -110,3 +111,32 @@ def test_nested_passages_leave_no_window_twice(spark):
     assert {r.doc_id: r.text for r in out}[0] == rows[0][1]
     assert {w for t in texts for w in t} == {w for r in out for w in r.text.split()}
     assert suffix.repeated_spans(spark.createDataFrame([tuple(r) for r in out], SCHEMA)).count() == 0
+
+
+def test_any_number_of_ranges_gives_the_same(spark, found, monkeypatch):
+    rows, spans = found
+    monkeypatch.setattr(suffix, "RANGE_BYTES", 9_000)
+    again = suffix.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, spans))
+
+
+def test_a_passage_in_most_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [[i, f"{i} {passage} {i}" if i % 3 else f"own{i} " * 3, "x"] for i in range(3000)]
+    spans = suffix.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    assert {tuple(s) for s in spans} == {(1, 1, 61, True, 1)} | {(i, 1, 61, False, 1) for i in range(2, 3000) if i % 3}
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([[1, f"a {passage}", "a"], [1, f"b b {passage} c", "b"], [2, "d e f", "c"]], SCHEMA)
+    assert suffix.repeated_spans(docs).count() == 2
+    out = {r.extra: r.text for r in suffix.suffix_dedup(docs).collect()}
+    assert sorted(map(len, out.values())) == sorted(map(len, ["d e f", f"a {passage}", "b b c"])) or sorted(map(len, out.values())) == sorted(map(len, ["d e f", "a ", f"b b {passage} c"]))
+
+
+def test_places_survive_their_bytes():
+    r = np.random.default_rng(4)
+    p = suffix.Places(np.repeat([-5, 7, 7, 1 << 60], [1, 4, 2, 3]), np.repeat([9, 1, 0xFFFFFFFF, 0], [1, 4, 2, 3]), np.array([3, 0, 1, 900, 70_000, 5, 6, 0, 2, 4]), r.integers(0, 1 << 56, 10))
+    q = suffix.Places.from_bytes(p.to_bytes())
+    assert all((getattr(p, c) == getattr(q, c)).all() for c in ("id", "tag", "pos", "name"))
