@@ -1,9 +1,9 @@
 """Unbounded n-gram scoring on sharded suffix arrays of the corpus.
 
-Each task builds suffix arrays over the words of its documents, a shard for every SHARD_WORDS words, and streams the texts to score, which
-lie in the shared folder, past them. Binary search narrows, word by word, the range of suffixes that begin with the words from each place of a text; the
-range's size is how often they occur. Summed over the shards these are the counts of every context that the corpus has, up to the longest,
-and of its continuations. The probability of a word interpolates from the shortest context to the longest.
+A task takes its documents in shards of SHARD_WORDS words. A shard's suffix array is that of the words backwards, so that what precedes a word, however far back, is a suffix, and the places of
+the texts to score are sorted in. The longest context before a word that a shard has is the longer of what the place shares with its neighbours there; binary search in the array
+finds the range of all suffixes that begin with it, whose size is how often it occurs. A task keeps, over its shards, the longest context of each place and its count; over the
+tasks, the longest of these and the sum of its counts stay. With the same for the next word, that is the probability of a word after its longest context, which is smoothed by that without context.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import slices
-from ..storage import cut_path
+from ..operators.block import Block
+from ..storage import cut, cut_path
 from . import words
-from .common import col, list_array
+from .common import col, ranges
 from .near import folded
 
 _U = np.uint64
-SHARD_WORDS = 4_000_000
+#: Words of a shard, and of the texts that are scored in one go over the corpus; a task holds some 80 bytes for each.
+SHARD_WORDS, TEXT_WORDS = 4_000_000, 2_000_000
 #: Weight of the shorter context's probability, in occurrences.
 ALPHA = 1.0
 
@@ -68,140 +70,246 @@ def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-class Shard:
-    """A suffix array over the words of some documents; a zero ends each document."""
+class _Texts:
+    """Texts to score: hashes of their words, where each begins, keys that tell documents apart."""
+
+    def __init__(self, path: str, low: int, high: int) -> None:
+        system, root = pyarrow.fs.FileSystem.from_uri(path)
+        files = sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        codes, sizes, query, key = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        for file in files:
+            for batch in pyarrow.parquet.ParquetFile(file, filesystem=system).iter_batches(1000, columns=["query", "text", "key", "block"]):
+                block = batch.column("block").to_numpy()
+                mine = batch.filter(pa.array((block >= low) & (block < high)))
+                code, first = folded_words(mine.column("text"))
+                codes.append(code)
+                sizes.append(np.diff(first))
+                query.append(mine.column("query").to_numpy())
+                key.append(mine.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
+        self.code, self.size, self.query, self.key = (np.concatenate(x) for x in (codes, sizes, query, key))
+        self.by_key = np.argsort(self.key, kind="stable")
+        self.keys = self.key[self.by_key]
+        #: The text that stands for all of its key, which are equal.
+        self.lead = np.where(self.key == 0, np.arange(len(self.key)), self.owner(self.key))
+
+    def owner(self, key: np.ndarray) -> np.ndarray:
+        """The first text with the key, which isn't 0; -1: there is none."""
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (key != 0), self.by_key[at], -1)
 
-    def __init__(self, codes: np.ndarray, ends: np.ndarray, depth: int) -> None:
-        self.kinds, ids = np.unique(codes, return_inverse=True)
-        self.text = np.insert(ids.astype(np.int64) + 1, ends, 0)
-        self.words = len(codes)
-        self.order = suffix_array(self.text, depth)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(self.kinds) + 1))])
 
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.kinds, codes), len(self.kinds) - 1)
-        return np.where(self.kinds[at] == codes, at + 1, -1)
+def _edge(block: Block, order: np.ndarray, at: np.ndarray, rank: np.ndarray, length: np.ndarray, side: int) -> np.ndarray:
+    """The outermost place of the array, towards side, whose suffix begins with the first `length` entries from at; at itself has that rank."""
+    sums, power = block.hashes()
+    n = len(order)
+    good, bad = rank.copy(), np.full(len(rank), -1 if side < 0 else n)
+    open_ = np.flatnonzero(np.abs(good - bad) > 1)
+    step = 1
+    while len(open_):
+        g, b = good[open_], bad[open_]
+        half = np.abs(g - b) >> 1
+        test = g + side * np.maximum(1, np.minimum(half, step))
+        x, m = at[open_], length[open_]
+        y = order[test]
+        inside = y + m <= n
+        y = np.where(inside, y, x)
+        first, last = np.minimum(x, y), np.maximum(x, y)
+        same = inside & ((sums[first + m] - sums[first]) * power[last - first] == sums[last + m] - sums[last])
+        good[open_[same]] = test[same]
+        bad[open_[~same]] = test[~same]
+        open_ = open_[np.abs(good[open_] - bad[open_]) > 1]
+        step *= 2
+    return good
 
-    def _bound(self, low: np.ndarray, high: np.ndarray, depth: int, word: np.ndarray, right: bool) -> np.ndarray:
-        """First place of [low, high) whose suffix has at depth an entry greater than (right) or not less than word."""
-        low, high = low.copy(), high.copy()
-        last = len(self.text) - 1
+
+def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of texts, in a shard of documents with these words: the longest run of words ending there that the shard has, how often it has that run, and the word.
+
+    owner: the text that a document is itself (-1: none); its places count for nothing at the text's same places.
+    """
+    d, total = len(size), len(texts.code)
+    kinds, ids = np.unique(np.concatenate([code, texts.code]), return_inverse=True)
+    sizes = np.concatenate([size, texts.size])
+    length = sizes + 1
+    begin = np.cumsum(length) - length
+    end = begin + sizes
+    n = int(length.sum())
+    text = np.empty(n, np.int64)
+    document = np.repeat(np.arange(len(sizes)), length)
+    there = ranges(begin, sizes)
+    text[(begin + end - 1)[document[there]] - there] = ids + 1
+    text[end] = len(kinds) + 1 + np.arange(len(sizes))  # an end of its own for each
+    order = suffix_array(text, n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    mine = np.zeros(n, bool)
+    mine[: int(length[:d].sum())] = True
+    mine[end[:d]] = False
+    block = Block(pa.nulls(0), text.astype(np.int32), begin, end, np.arange(len(kinds) + len(sizes)))
+    row = np.repeat(np.arange(len(texts.size)), texts.size)
+    lead = texts.lead[row]
+    q_end = end[d + row]
+    at = q_end - 1 - (np.arange(total) - (np.cumsum(texts.size) - texts.size)[row])
+    at_rank = rank[at]
+    is_mine = mine[order]
+    places = np.arange(n)
+    before = np.maximum.accumulate(np.where(is_mine, places, -1))
+    behind = np.minimum.accumulate(np.where(is_mine, places, n)[::-1])[::-1]
+    own = np.append(owner, np.full(len(texts.size), -1))
+
+    def nearest(near: np.ndarray, side: int) -> np.ndarray:
+        """The common run with the nearest suffix of the shard on that side."""
+        found = near[at_rank]
         while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            middle = (low[open_] + high[open_]) // 2
-            at = self.order[middle] + depth
-            value = np.where(at <= last, self.text[np.minimum(at, last)], -1)
-            less = value <= word[open_] if right else value < word[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-
-    def counts(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often the words [p, p + length) occur for each place p, for lengths from 1 on while they do, end[p] bounding them; flat, and how many per place."""
-        ids = self.ids(codes)
-        at = np.flatnonzero(ids > 0)
-        low, high = self.starts[ids[at]], self.starts[ids[at] + 1]
-        found = [(at, high - low)]
-        depth = 1
-        while len(at):
-            on = at + depth < end[at]
-            at, low, high = at[on], low[on], high[on]
-            word = ids[at + depth]
-            on = word > 0
-            at, low, high, word = at[on], low[on], high[on], word[on]
-            low = self._bound(low, high, depth, word, False)
-            high = self._bound(low, high, depth, word, True)
-            on = low < high
-            at, low, high = at[on], low[on], high[on]
-            found.append((at, high - low))
-            depth += 1
-        place = np.concatenate([p for p, _ in found])
-        order = np.argsort(place, kind="stable")
-        return np.concatenate([c for _, c in found])[order], np.bincount(place, minlength=len(codes))
-
-
-def _index(path: str, depth: int, shard_words: int):
+            ok = (found >= 0) & (found < n)
+            x = order[np.where(ok, found, 0)]
+            twin = ok & (own[document[x]] == lead) & (end[document[x]] - x == q_end - at)
+            if not twin.any():
+                break
+            step = found[twin] + side
+            found[twin] = np.where((step >= 0) & (step < n), near[np.clip(step, 0, n - 1)], -1)
+        most = np.where(ok, np.minimum(q_end - at, end[document[x]] - x), 0)
+        return block.common(at, x, most)
+
+    longest = np.maximum(nearest(before, -1), nearest(behind, 1))
+    twins = np.bincount(owner[owner >= 0], minlength=len(texts.size))[lead]
+    running = np.concatenate([[0], np.cumsum(is_mine)])
+    count = np.zeros(total, np.int64)
+    some = np.flatnonzero(longest > 0)
+    low = _edge(block, order, at[some], at_rank[some], longest[some], -1)
+    high = _edge(block, order, at[some], at_rank[some], longest[some], 1)
+    count[some] = running[high + 1] - running[low] - twins[some]
+    single = np.bincount(ids[: len(code)], minlength=len(kinds))[ids[len(code) :]] - twins
+    return longest, count, single
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers, below 2**40, byte by byte."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+
+
+def _found(data: bytes) -> np.ndarray:
+    """Three rows: longest runs, their counts, the words' counts."""
+    raw = np.frombuffer(data, np.uint8).reshape(3, 5, -1)
+    out = np.zeros((3, raw.shape[2], 8), np.uint8)
+    out[:, :, :5] = raw.transpose(0, 2, 1)
+    return out.view("<i8").reshape(3, -1)
+
+
+def _index(path: str, low: int, high: int, shard_words: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def searched(codes: list[np.ndarray], ends: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            sizes = np.cumsum([0, *(len(c) for c in codes)])
-            shard = Shard(np.concatenate(codes), np.concatenate([e + s for e, s in zip(ends, sizes, strict=False)]), depth)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([0], pa.int32()), pa.array([[shard.words]], pa.list_(pa.int64()))], ["query", "start", "counts"])
-            system, root = pyarrow.fs.FileSystem.from_uri(path)
-            for file in sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet")):
-                for batch in pyarrow.parquet.ParquetFile(file, filesystem=system).iter_batches(1000, columns=["query", "text"]):
-                    query, first = folded_words(batch.column("text"))
-                    row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                    counts, size = shard.counts(query, first[1:][row])
-                    there = np.flatnonzero(size)
-                    keys = batch.column("query").take(pa.array(row[there]))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array((there - first[row[there]]).astype(np.int32)), list_array(counts, size[there], pa.int64())], ["query", "start", "counts"])
-
-        codes, ends, held = [], [], 0
+        texts = _Texts(path, low, high)
+        best = np.zeros((3, len(texts.code)), np.int64)
+        words_held = 0
+
+        def searched(codes: list[np.ndarray], sizes: list[np.ndarray], keys: list[np.ndarray]) -> None:
+            nonlocal words_held
+            owner = texts.owner(np.concatenate(keys))
+            code = np.concatenate(codes)
+            words_held += len(code)
+            longest, count, single = matches(code, np.concatenate(sizes), owner, texts)
+            best[2] += single
+            more, same = longest > best[0], longest == best[0]
+            best[1] = np.where(more, count, np.where(same, best[1] + count, best[1]))
+            best[0] = np.maximum(best[0], longest)
+
+        codes, sizes, keys, held = [], [], [], 0
         for batch in batches:
-            for part in slices(batch, 0):
-                code, first = folded_words(part.column(0))
+            for part in slices(batch, 1):
+                code, first = folded_words(part.column(1))
                 codes.append(code)
-                ends.append(first[1:])
+                sizes.append(np.diff(first))
+                keys.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
                 held += len(code)
                 if held >= shard_words:
-                    yield from searched(codes, ends)
-                    codes, ends, held = [], [], 0
+                    searched(codes, sizes, keys)
+                    codes, sizes, keys, held = [], [], [], 0
         if held:
-            yield from searched(codes, ends)
+            searched(codes, sizes, keys)
+        if not words_held:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([words_held], pa.int64()), pa.array([None], pa.binary())], ["query", "words", "data"])
+        ends = np.cumsum(texts.size)
+        for a in range(0, len(ends), 1000):
+            some = range(a, min(a + 1000, len(ends)))
+            data = [b"".join(_planes(x[ends[k] - texts.size[k] : ends[k]]) for x in best) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(texts.query[some.start : some.stop]), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], ["query", "words", "data"])
 
     return index
 
 
+def _scored(total: int, alpha: float):
+    def scored(table: pa.Table) -> pa.Table:
+        each = [_found(x) for x in table["data"].to_pylist()]
+        longest = np.max([x[0] for x in each], axis=0)
+        count = np.sum([np.where(x[0] == longest, x[1], 0) for x in each], axis=0)
+        single = np.sum([x[2] for x in each], axis=0)
+        base = (single + alpha / (total + 1)) / (total + alpha)
+        context = np.concatenate([[0], longest[:-1]])[: len(longest)]
+        c = np.concatenate([[0], count[:-1]])[: len(longest)]
+        goes_on = np.where(longest == context + 1, count, 0)
+        chance = np.where(context > 0, (goes_on + alpha * base) / (c + alpha), base)
+        n = len(longest)
+        sums = [float(np.log(chance).sum()), float(context.mean()), int(context.max())] if n else [0.0, None, None]
+        names = ["query", "log_prob", "mean_context", "longest_context"]
+        return pa.table([table["query"].slice(0, 1), pa.array([sums[0]], pa.float64()), pa.array([sums[1]], pa.float64()), pa.array([sums[2]], pa.int32())], names=names)
+
+    return scored
+
+
 def _text_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         _, first = folded_words(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first))], ["query", "n_words"])
 
 
-def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text", alpha: float = ALPHA, shard_words: int = SHARD_WORDS, leave_out: bool = False) -> DataFrame:
-    """(item_id, n_words, log_prob, perplexity, mean_context, longest_context) of each row of texts under the n-grams of all of corpus.
+def _key(df: DataFrame, id_col: str, text_col: str):
+    """Tells documents apart by id and text; 0 without an id."""
+    key = col(df, id_col).cast("long")
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.xxhash64(key, col(df, text_col).cast("string"))).cast("long")
+
 
-    Words are compared without case and ASCII punctuation. A word's context is the longest run of words before it, within its text, that the corpus has within
+def score(
+    texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text", alpha: float = ALPHA, shard_words: int = SHARD_WORDS, own_col: str | None = None, text_words: int = TEXT_WORDS
+) -> DataFrame:
+    """(id_col, n_words, log_prob, perplexity, mean_context, longest_context) of each row of texts under the n-grams of all of corpus.
+
+    Words are compared without case and ASCII punctuation. A word's context x is the longest run of words before it, within its text, that the corpus has within
     one document. With c(x) for the occurrences of x and N for the corpus' words, the probability of w is p(w) = (c(w) + alpha / (N + 1)) / (N + alpha)
-    without context, and after a context x it is (c(xw) + alpha p(w after x less its first word)) / (c(x) + alpha). Natural logarithms; figures rounded to
-    6 digits. A text that is null or has no word has n_words 0, log_prob 0 and null averages. Null ids stay; repeated rows get equal answers.
-    Null texts of the corpus count for nothing; an empty corpus gives each word the probability 1. An empty table of texts gives no rows.
-    leave_out: the texts are rows of corpus; the scored occurrence itself, of the word and its context, counts for nothing, nor among N.
+    without context, else (c(xw) + alpha p(w)) / (c(x) + alpha). Natural logarithms; figures rounded to 6 digits. A text, of any length, that is null or has no word has
+    n_words 0, log_prob 0 and null averages. Null ids stay; repeated rows get equal answers. Null texts of the corpus count for nothing; an empty corpus
+    gives each word the probability 1. An empty table of texts gives no rows.
+
+    own_col: the column of corpus with its documents' ids, where texts are some of them. The scored occurrence itself then counts for nothing, nor among N: the place that the text has in rows with
+    its id and text; in texts without an id, all counts. Time grows with the words of texts times those of corpus: each TEXT_WORDS of texts are one pass over the corpus.
     """
-    plain = texts.select(col(texts, id_col).cast("long").alias("item_id"), F.coalesce(col(texts, text_col).cast("string"), F.lit("")).alias("text"))
-    queries, path = cut_path(plain.withColumn("query", F.monotonically_increasing_id()))
-    length, _ = cut_path(queries.select("query", "text").mapInArrow(_text_depth, "query long, n_words long"))
-    depth = length.agg(F.max("n_words")).first()[0] or 0
-    documents = corpus.select(col(corpus, corpus_text_col).cast("string").alias("text")).where("text is not null")
-    parts = documents.mapInArrow(_index(path, depth, shard_words), "query long, start int, counts array<long>")
-    each = parts.select("query", "start", F.posexplode("counts").alias("at", "n")).groupBy("query", "start", "at").agg(F.sum("n").alias("n"))
-    counts, _ = cut_path(each)
-    total = counts.where("query = -1").agg(F.sum("n")).first()[0] or 0
-    own = int(leave_out)
-    total = max(total - own, 0)
-    grams = counts.where("query >= 0").select("query", "start", (F.col("at") + 1).alias("length"), (F.col("n") - own).alias("n")).where("n > 0")
-    whole = grams.select("query", (F.col("start") + F.col("length") - 1).alias("word"), (F.col("length") - 1).alias("context"), F.lit(0).cast("long").alias("c"), F.col("n").alias("cw"))
-    before = grams.select("query", (F.col("start") + F.col("length")).alias("word"), F.col("length").alias("context"), F.col("n").alias("c"), F.lit(0).cast("long").alias("cw"))
-    levels = whole.unionByName(before).groupBy("query", "word", "context").agg(F.max("c").alias("c"), F.max("cw").alias("cw"))
-    by_word = levels.groupBy("query", "word").agg(F.sort_array(F.collect_list(F.struct("context", "c", "cw"))).alias("levels"))
-    places = length.select("query", F.explode(F.expr("if(n_words > 0, sequence(0, int(n_words) - 1), array())")).alias("word"))
-    joined = places.join(by_word, ["query", "word"], "left")
-    a = F.lit(float(alpha))
-    base = a / (total + 1)
-    none = F.array().cast("array<struct<context:int,c:bigint,cw:bigint>>")
-    found = F.coalesce("levels", none)
-    unigram = F.coalesce(F.get(F.filter(found, lambda x: x.context == 0), F.lit(0)).cw, F.lit(0))
-    chance = F.aggregate(F.filter(found, lambda x: x.context > 0), (unigram + base) / (total + a), lambda p, x: (x.cw + a * p) / (x.c + a))
-    longest = F.coalesce(F.array_max(F.transform(found, lambda x: x.context)), F.lit(0))
-    scored = joined.select("query", F.log(chance).alias("log_p"), longest.alias("context"))
-    sums = scored.groupBy("query").agg(F.sum("log_p").alias("log_prob"), F.avg("context").alias("mean_context"), F.max("context").alias("longest_context"))
-    out = queries.select("query", "item_id").join(length, "query").join(sums, "query", "left")
+    spark = texts.sparkSession
+    plain = texts.select(col(texts, id_col).cast("long").alias("out_id"), F.coalesce(col(texts, text_col).cast("string"), F.lit("")).alias("text"), (_key(texts, id_col, text_col) if own_col else F.lit(0).cast("long")).alias("key"))
+    numbered = cut(plain.withColumn("query", F.monotonically_increasing_id()))
+    length = cut(numbered.select("query", "text").mapInArrow(_text_depth, "query long, n_words long"))
+    total = length.agg(F.sum("n_words")).first()[0] or 0
+    passes = max(1, -(-total // text_words))
+    queries, path = cut_path(numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(passes)).cast("int")))
+    own = _key(corpus, own_col, corpus_text_col) if own_col else F.lit(0).cast("long")
+    documents = corpus.select(own.alias("key"), col(corpus, corpus_text_col).cast("string").alias("text")).where("text is not null")
+    documents = documents.coalesce(spark.sparkContext.defaultParallelism)  # a task sums up over its shards
+    parts = None
+    for k in range(passes):
+        found = documents.mapInArrow(_index(path, k, k + 1, shard_words), "query long, words long, data binary")
+        parts = found if parts is None else parts.unionByName(found)
+    parts = cut(parts)
+    held = (parts.where("query = -1").agg(F.sum("words")).first()[0] or 0) // passes
+    held = max(held - bool(own_col), 0)
+    sums = parts.where("query >= 0").select("query", "data").groupBy("query").applyInArrow(_scored(held, float(alpha)), "query long, log_prob double, mean_context double, longest_context int")
+    out = queries.select("query", "out_id").join(length, "query").join(sums, "query", "left")
+    log_prob = F.when(F.col("n_words") > 0, F.coalesce("log_prob", F.lit(0.0)))  # no word anywhere: each is certain
     return out.select(
-        "item_id",
+        F.col("out_id").alias(id_col),
         "n_words",
-        F.round(F.coalesce("log_prob", F.lit(0.0)), 6).alias("log_prob"),
-        F.round(F.exp(-F.col("log_prob") / F.col("n_words")), 6).alias("perplexity"),
-        F.round("mean_context", 6).alias("mean_context"),
-        "longest_context",
+        F.round(F.coalesce(log_prob, F.lit(0.0)), 6).alias("log_prob"),
+        F.round(F.exp(-log_prob / F.col("n_words")), 6).alias("perplexity"),
+        F.round(F.when(F.col("n_words") > 0, F.coalesce("mean_context", F.lit(0.0))), 6).alias("mean_context"),
+        F.when(F.col("n_words") > 0, F.coalesce("longest_context", F.lit(0))).alias("longest_context"),
     )

@@ -13,25 +13,23 @@ def words(text):
     return re.findall(r"[^\s!-/:-@\[-`{-~]+", (text or "").lower())
 
 
-def brute(texts, corpus, alpha=1.0):
+def brute(texts, corpus, alpha=1.0, own=0):
     docs = [words(t) for t in corpus]
-    total = sum(map(len, docs))
+    total = sum(map(len, docs)) - own
 
     def count(gram):
         n = len(gram)
-        return sum(d[i : i + n] == gram for d in docs for i in range(len(d) - n + 1)) if n else total
+        return sum(d[i : i + n] == gram for d in docs for i in range(len(d) - n + 1)) - own
 
     out = []
     for key, text in texts:
         w = words(text)
         logs, contexts = [], []
         for i in range(len(w)):
-            p, longest = (count([w[i]]) + alpha / (total + 1)) / (total + alpha), 0
-            for n in range(1, i + 1):
-                c = count(w[i - n : i])
-                if not c:
-                    break
-                p, longest = (count(w[i - n : i + 1]) + alpha * p) / (c + alpha), n
+            p = (count([w[i]]) + alpha / (total + 1)) / (total + alpha)
+            longest = max((n for n in range(1, i + 1) if count(w[i - n : i])), default=0)
+            if longest:
+                p = (count(w[i - longest : i + 1]) + alpha * p) / (count(w[i - longest : i]) + alpha)
             logs.append(math.log(p))
             contexts.append(longest)
         n = len(w)
@@ -83,21 +81,23 @@ def test_documents_are_scored_without_the_scored_occurrence(spark, shard):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice(["a", "b", "c", "D,", "é"]) for _ in range(r.randrange(0, 15)))) for i in range(15)]
     rows += [(20, "a b c " * 4), (21, None), (22, "only here"), (23, "a b c " * 4), (24, "a a a a a")]
-    docs = [words(t) for _, t in rows]
-    total = sum(map(len, docs)) - 1
-    count = lambda g: sum(d[i : i + len(g)] == g for d in docs for i in range(len(d) - len(g) + 1)) - 1
-    want = []
-    for key, text in rows:
-        w, logs, contexts = words(text), [], []
-        for i in range(len(w)):
-            p, longest = (count([w[i]]) + 1 / (total + 1)) / (total + 1), 0
-            for n in range(1, i + 1):
-                if not (c := count(w[i - n : i])):
-                    break
-                p, longest = (count(w[i - n : i + 1]) + p) / (c + 1), n
-            logs.append(math.log(p))
-            contexts.append(longest)
-        n = len(w)
-        want.append((key, n, round(sum(logs), 6) + 0.0, math.exp(-sum(logs) / n) if n else None, sum(contexts) / n if n else None, max(contexts) if n else None))
-    t = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
-    close([tuple(x) for x in lm.score(t, t, shard_words=shard, leave_out=True).collect()], want)
+    t = spark.createDataFrame([(*x, 5) for x in rows], "item_id long, text string, key int").repartition(3)
+    want = brute(rows, [x for _, x in rows], own=1)
+    close([tuple(x) for x in lm.score(t, t, shard_words=shard, own_col="item_id").collect()], want)
+    some = t.where("item_id % 2 = 0")
+    close([tuple(x) for x in lm.score(some, t, shard_words=shard, own_col="item_id", text_words=20).collect()], [x for x in want if x[0] % 2 == 0])
+
+
+def test_rows_of_one_id_and_text_are_one_document(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c"), (None, "a b"), (1, "b c x")]
+    t = spark.createDataFrame(rows, "item_id long, text string").coalesce(1)
+    got = {(r.item_id, r.n_words, r.longest_context, r.mean_context) for r in lm.score(t, t, own_col="item_id").collect()}
+    assert got == {(1, 4, 3, 1.5), (2, 3, 2, 1.0), (None, 2, 1, 0.5), (1, 3, 2, 1.0)}
+
+
+def test_a_long_copy(spark):
+    r = np.random.default_rng(3)
+    long = " ".join(f"w{x}" for x in r.integers(0, 5000, 20_000))
+    t = spark.createDataFrame([(1, long), (2, "x " + long), (3, "w1 w2")], "item_id long, text string").repartition(2)
+    out = {x.item_id: x for x in lm.score(t, t, own_col="item_id").collect()}
+    assert out[1].longest_context == 19_999 and out[2].longest_context == 19_999 and out[3].longest_context <= 1
