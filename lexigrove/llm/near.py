@@ -21,6 +21,8 @@ from . import words
 from .common import binary_rows, col, fixed_matrix, fresh, int_text, list_array, whole_groups
 
 _U = np.uint64
+#: Members of a bucket that a task compares at once.
+PIECE = 50_000
 SAMPLES, SKETCH_BITS, BANDS, ROWS, SHINGLE, THRESHOLD = 256, 512, 42, 6, 2, 0.6
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -146,9 +148,9 @@ def linked(ids: np.ndarray, bitmaps: np.ndarray, most: int) -> tuple[np.ndarray,
 
 def _verify(most: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket."""
-        for table in whole_groups(batches, "bucket"):
-            bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
+        """Rows come sorted by meeting, which is a bucket or two pieces of a large one."""
+        for table in whole_groups(batches, "meeting"):
+            bucket, ids = table["meeting"].to_numpy(), table["id"].to_numpy()
             bitmaps = fixed_matrix(table["sketch"], _U, SKETCH_BITS // 64)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             found = [linked(ids[a:b], bitmaps[a:b], most) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
@@ -170,10 +172,17 @@ def near_edges(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = same.join(small, "all").where("id <> b").select(F.col("id").alias("a"), "b")
     single = cut(same.join(small, "all", "left").where("b is null or id = b").select("id", "sketch", "bands"))
     in_bands = single.select("id", F.explode("bands").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids")).where("n > 1")
-    members = shared.select("bucket", F.explode("ids").alias("id"))
-    ordered = members.join(single.select("id", "sketch"), "id").repartition("bucket").sortWithinPartitions("bucket")
-    verified = ordered.select("bucket", "id", "sketch").mapInArrow(_verify(most_differing(threshold)), "a long, b long")
+    counted = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    counted = cut(counted.select("bucket", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")))
+    # the members of a bucket that is larger than a task should hold are cut into pieces, and each two pieces meet
+    members = in_bands.join(checked_broadcast(counted, 24), "bucket").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    others = F.when(F.col("pieces") > 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.lit(0)))
+    met = members.select("id", "bucket", "piece", "pieces", F.explode(others).alias("other"))
+    low, high = F.least("piece", "other"), F.greatest("piece", "other")
+    meeting = F.when(F.col("pieces") > 1, F.xxhash64("bucket", low, high)).otherwise(F.col("bucket"))
+    placed = met.select("id", meeting.alias("meeting")).join(single.select("id", "sketch"), "id")
+    ordered = placed.repartition("meeting").sortWithinPartitions("meeting")
+    verified = ordered.select("meeting", "id", "sketch").mapInArrow(_verify(most_differing(threshold)), "a long, b long")
     return copies.unionByName(verified).distinct()
 
 
@@ -204,7 +213,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """For each row (doc_id, group_id, keep): the least id of its group of near-duplicates, and whether the row has it.
 
     Texts are compared by their pairs of successive words, without case and ASCII punctuation. Rows that are linked, directly or through others, by an
-    estimated Jaccard similarity of at least threshold form a group. A null text, or one without a word, is alone; so is a row with a null id
+    estimated Jaccard similarity of at least threshold form a group. A pair of similarity s meets in a band with the probability 1 - (1 - s**ROWS)**BANDS, which is
+    0.87 at 0.6, 0.99 at 0.69 and 0.9997 at 0.75. Texts may be of any length. A null text, or one without a word, is alone; so is a row with a null id
     (its group_id is null, keep true). Rows that repeat an id get that id's answer. An empty table gives no rows.
     """
     groups = components(near_edges(cut(sketches(docs, id_col, text_col)), threshold))

@@ -109,3 +109,10 @@ def test_shingles_fold_case_and_punctuation():
     row, grams = near.shingles(pa.array(["Été, DE la Mer", "été de   LA mer!", None, "solo"]))
     assert row.tolist() == [0] * 3 + [1] * 3 + [3]
     assert grams[:3].tolist() == grams[3:6].tolist()
+
+
+def test_pieces_of_buckets_give_the_same_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(*x, 1, "k") for x in corpus()], SCHEMA).repartition(3)
+    want = sorted(map(tuple, near.near_groups(docs).collect()))
+    monkeypatch.setattr(near, "PIECE", 2)
+    assert sorted(map(tuple, near.near_groups(docs).collect())) == want
