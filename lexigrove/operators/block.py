@@ -175,17 +175,20 @@ def suffix_order(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = block.bits
     chars = max(1, 63 // bits)
     key = _pack(block, at, limit, 0, chars, bits)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     depth = chars
-    group = np.cumsum(new) - 1
+    group = np.zeros(n, np.int64)
     tied = np.flatnonzero(_groups(new) > 1)
+    group[tied] = np.cumsum(new[tied])
     while len(tied) and depth < PACKED:
         which = order[tied]
-        key = _pack(block, at[which], limit[which], depth, chars, bits)
-        by = np.lexsort((key, group[tied]))
+        mine = group[tied]
+        chars = max(1, (63 - int(mine[-1]).bit_length()) // bits)
+        key = (mine.astype(_U) << _U(chars * bits)) | _pack(block, at[which], limit[which], depth, chars, bits)
+        by = np.argsort(key)
         order[tied], key = which[by], key[by]
         first = new[tied]  # groups keep their places
         first[1:] |= key[1:] != key[:-1]
@@ -196,7 +199,6 @@ def suffix_order(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             group[tied] = np.cumsum(first)[again]
         depth += chars
     # deep ties: by the common prefix with a pivot of the group
-    settled = np.full(n, False)
     while len(tied):
         first = new[tied]
         begin = np.flatnonzero(first)
@@ -217,7 +219,6 @@ def suffix_order(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.ones(len(tied), bool)
         begins[1:] = (mine[1:] != mine[:-1]) | (side[1:] != side[:-1]) | (rank[1:] != rank[:-1]) | (x[1:] != x[:-1])
         new[tied] = begins
-        settled[tied[same]] = True
         more = (_groups(begins) > 1) & ~same
         tied = tied[more]
     place = at[order]

@@ -15,6 +15,8 @@ from ..storage import cut
 
 #: Texts are cut into parts of so many characters, and these again (overlapping by a window less one), as finding a character costs its distance from the start.
 PARTS = (1 << 16, 128)
+#: What no counted window has: line breaks, and U+FFFD in place of bytes that aren't text.
+EXCLUDED = "[\r\n\ufffd]"
 #: So many targets go along with the tasks that count.
 FEW_TARGETS = 100_000
 
@@ -22,7 +24,7 @@ FEW_TARGETS = 100_000
 def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, targets: DataFrame | None = None, step: int = 1, compat: bool = False, short: bool = False) -> DataFrame:
     """(doc_id, pos, prefix): the windows of so many characters, from every place (from 0) of every text.
 
-    exclude_newlines leaves out windows with a line feed or carriage return. targets, (prefix), keeps the windows whose first width - step
+    exclude_newlines leaves out windows with a line feed, a carriage return, or the character that stands for bytes that aren't text. targets, (prefix), keeps the windows whose first width - step
     characters are in it. compat keeps only characters of one or three UTF-8 bytes at width 1. short: also the windows that the text's end cuts off.
     """
     places = F.length("text") if short else F.greatest(F.length("text") - (width - 1), F.lit(0))
@@ -36,7 +38,7 @@ def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, target
     places = parts.select("doc_id", "base", "text", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("p"))
     found = places.select("doc_id", (F.col("base") + F.col("p") - 1).cast("long").alias("pos"), F.substring("text", F.col("p"), F.lit(width)).alias("prefix"))
     if exclude_newlines:
-        found = found.where(~F.col("prefix").rlike("[\r\n]"))
+        found = found.where(~F.col("prefix").rlike(EXCLUDED))
     if compat and width == 1:
         found = found.where(F.octet_length("prefix").isin(1, 3))
     if targets is not None:
@@ -45,6 +47,29 @@ def windows(corpus: DataFrame, width: int, exclude_newlines: bool = True, target
     return found
 
 
+#: Numbers below this are counted in a table.
+_TABLE = 1 << 22
+
+
+def _distinct(ids: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, below bound; where each is first (in a table: somewhere), and how often it occurs."""
+    if bound > _TABLE:
+        return np.unique(ids, return_index=True, return_counts=True)
+    n = np.bincount(ids, minlength=1)
+    some = np.flatnonzero(n)
+    where = np.empty(len(n), np.int64)
+    where[ids] = np.arange(len(ids))
+    return some, where[some], n[some]
+
+
+def _among(ids: np.ndarray, some: np.ndarray, bound: int) -> np.ndarray:
+    if bound > _TABLE:
+        return np.isin(ids, some)
+    table = np.zeros(bound, bool)
+    table[some] = True
+    return table[ids]
+
+
 def _count(width: int, step: int, exclude_newlines: bool, compat: bool, targets: frozenset[str] | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch, 0)):
@@ -57,27 +82,29 @@ def _count(width: int, step: int, exclude_newlines: bool, compat: bool, targets:
             length = np.array([len(t) for t in texts])
             ok = np.arange(width, len(code) + 1) <= np.repeat(np.cumsum(length), length)[:places]
             if exclude_newlines:
-                newlines = np.concatenate([[0], np.cumsum((code == 10) | (code == 13))])
+                newlines = np.concatenate([[0], np.cumsum((code == 10) | (code == 13) | (code == 0xFFFD))])
                 ok &= newlines[width:] == newlines[:places]
             if compat and width == 1:
                 ok &= (code < 0x80) | ((code >= 0x800) & (code < 0x10000))
-            kinds, dense = np.unique(code, return_inverse=True)
-            at, bound = np.flatnonzero(ok), len(kinds)
-            ids = dense[at]
+            present = np.bincount(code) > 0
+            dense = (np.cumsum(present) - 1)[code]
+            at, bound = np.flatnonzero(ok), int(present.sum())
+            kinds, ids = bound, dense[at]
             for k in range(1, width + 1):
                 if targets is not None and k == width - step:
-                    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
-                    wanted = np.array([flat[p : p + k] in targets for p in at[first]], bool)[which] if len(at) else np.zeros(0, bool)
-                    at, ids = at[wanted], ids[wanted]
+                    some, first, _ = _distinct(ids, bound)
+                    keep = np.array([flat[p : p + k] in targets for p in at[first].tolist()], bool)
+                    chosen = _among(ids, some[keep], bound)
+                    at, ids = at[chosen], ids[chosen]
                 if k == width:
                     break
-                if bound * len(kinds) >= 1 << 62:
+                if bound * kinds >= 1 << 62:
                     ids = np.unique(ids, return_inverse=True)[1]
                     bound = max(1, len(ids))
-                ids = ids * len(kinds) + dense[at + k]
-                bound *= len(kinds)
-            _, first, n = np.unique(ids, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([flat[p : p + width] for p in at[first]], pa.string()), pa.array(n, pa.int64())], ["prefix", "n"])
+                ids = ids * kinds + dense[at + k]
+                bound *= kinds
+            _, first, n = _distinct(ids, bound)
+            yield pa.RecordBatch.from_arrays([pa.array([flat[p : p + width] for p in at[first].tolist()], pa.string()), pa.array(n, pa.int64())], ["prefix", "n"])
 
     return count
 
@@ -163,7 +190,7 @@ def _tails(corpus: DataFrame, above: DataFrame, width: int, step: int, exclude_n
         tail = corpus.where(F.length("text") >= n).select(F.expr(f"right(text, {n})").alias("tail"))
         ends = tail if ends is None else ends.unionByName(tail)
     if exclude_newlines:
-        ends = ends.where(~F.col("tail").rlike("[\r\n]"))
+        ends = ends.where(~F.col("tail").rlike(EXCLUDED))
     hit = ends.join(above.select(F.col("prefix").alias("_above")), F.substring("tail", 1, width) == F.col("_above"), "left_semi")
     return hit.groupBy(F.concat("tail", F.lit(TERMINATOR)).alias("prefix")).agg(F.count("*").alias("frequency")).withColumn("length", F.length("prefix"))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..arrow import slices
 from ..storage import cut
 from .prefixes import windows
 
-#: Patterns that are searched one by one.
+#: Patterns of a list that are looked for in each text.
 FEW = 32
 
 
@@ -40,12 +43,11 @@ def position_to_document(positions: DataFrame, bounds: DataFrame, bucket: int |
 def occurrences(corpus: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
     """(pattern, doc_id, pos) of all occurrences, overlapping ones too; an empty or null pattern has none.
 
-    A list of a few patterns is looked for text by text: a split in front of each occurrence gives their places. Of more patterns, those of
-    one length are one hash join with the windows of that length.
+    A list of a few patterns is looked for text by text, all in one pass. Of more patterns, those of one length are one hash join with the windows of that length.
     """
     spark = corpus.sparkSession
     if isinstance(patterns, list) and len(patterns) <= FEW:
-        return _split_at(corpus, sorted({p for p in patterns if p}))
+        return corpus.select("doc_id", "text").mapInArrow(_find(sorted({p for p in patterns if p})), "pattern string, doc_id long, pos long")
     table = spark.createDataFrame([(p,) for p in patterns], "pattern string") if isinstance(patterns, list) else patterns.select("pattern")
     table = cut(table.where("pattern is not null and pattern <> ''").distinct())
     found = None
@@ -55,23 +57,22 @@ def occurrences(corpus: DataFrame, patterns: list[str] | DataFrame) -> DataFrame
     return found if found is not None else spark.createDataFrame([], "pattern string, doc_id long, pos long")
 
 
-def _split_at(corpus: DataFrame, patterns: list[str]) -> DataFrame:
-    if not patterns:
-        return corpus.sparkSession.createDataFrame([], "pattern string, doc_id long, pos long")
-    found = None
-    for pattern in patterns:
-        mine = corpus.where(F.contains("text", F.lit(pattern))).select("doc_id", F.monotonically_increasing_id().alias("row"), F.startswith("text", F.lit(pattern)).alias("head"), F.split("text", f"(?={_literal(pattern)})").alias("parts"))
-        # the first part is an occurrence only if the text begins with the pattern
-        parts = mine.select("doc_id", "row", "head", F.posexplode("parts").alias("at", "part"))
-        before = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        placed = parts.select("doc_id", "at", "head", F.coalesce(F.sum(F.length("part").cast("long")).over(before), F.lit(0).cast("long")).alias("pos"))
-        hit = placed.where((F.col("at") > 0) | F.col("head")).select(F.lit(pattern).alias("pattern"), "doc_id", "pos")
-        found = hit if found is None else found.unionByName(hit)
-    return found
-
-
-def _literal(pattern: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in pattern)
+def _find(patterns: list[str]):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            which, row, pos = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for number, pattern in enumerate(patterns):
+                    at = text.find(pattern) if text else -1
+                    while at >= 0:
+                        which.append(number)
+                        row.append(k)
+                        pos.append(at)
+                        at = text.find(pattern, at + 1)
+            names = pa.array(patterns, pa.string()).take(pa.array(which, pa.int32()))
+            yield pa.RecordBatch.from_arrays([names, batch.column(0).take(pa.array(row, pa.int32())), pa.array(pos, pa.int64())], ["pattern", "doc_id", "pos"])
+
+    return find
 
 
 def occurrence_counts(corpus: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:

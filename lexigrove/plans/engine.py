@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import re
 import threading
 import time
 import traceback
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +21,9 @@ from ..operators import prefixes as prefixes_of
 from ..operators import suffixes as suffixes_of
 from ..operators import tree
 from ..sources.corpus import boundaries, superstring, write_index
-from ..storage import cut, prepare
+from ..storage import cut_path, drop, prepare
+
+log = logging.getLogger("lexigrove")
 
 
 @dataclass
@@ -29,17 +34,28 @@ class SuffixIndex:
     corpus: DataFrame
     prefixes: DataFrame
     groups: DataFrame
+    group_count: int
     suffixes: DataFrame
+    elements: DataFrame
     nodes: DataFrame
     edges: DataFrame
     boundaries: DataFrame
     stats: DataFrame
     uncovered: DataFrame
+    #: Folders of the tables that the others are read from.
+    written: list[str] = field(default_factory=list)
 
     @classmethod
     def build(cls, corpus: DataFrame, config: IndexConfig | None = None) -> SuffixIndex:
         config = config or IndexConfig()
         prepare(corpus.sparkSession)
+        written: list[str] = []
+
+        def cut(df: DataFrame) -> DataFrame:
+            df, path = cut_path(df)
+            written.append(path)
+            return df
+
         corpus = cut(corpus)
         size = corpus.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
         limit = config.resolved_limit(size)
@@ -49,10 +65,11 @@ class SuffixIndex:
         found, width = prefixes_of.discover(corpus, limit, config.max_window, config.window, config.step, config.exclude_newlines, superstring=joined, complete=config.complete and not joined)
         found = cut(found)
         text = superstring(corpus) if joined else corpus
+        grouped, group_count = groups_of.allocated(found, limit, config.num_workers)
         pieces = cut(suffixes_of.index_elements(text, found, config.boundary, config.complete, config.max_positions))
         return cls(
-            config, corpus, found, groups_of.allocate(found, limit, config.num_workers), tree.suffixes(pieces), tree.nodes(pieces, text), tree.edges(pieces, text),
-            boundaries(corpus), tree.index_stats(pieces, found, limit, width), prefixes_of.uncovered(corpus, found),
+            config, corpus, found, grouped, group_count, tree.suffixes(pieces), pieces, tree.nodes(pieces, text), tree.edges(pieces, text),
+            boundaries(corpus), tree.index_stats(pieces, found, limit, width), prefixes_of.uncovered(corpus, found), written,
         )
 
     def tables(self) -> dict[str, DataFrame]:
@@ -62,6 +79,15 @@ class SuffixIndex:
         write_index(self.tables(), path, kind)
 
 
+def _json(value: dict) -> str:
+    def camel(x: object) -> object:
+        if isinstance(x, dict):
+            return {re.sub("_(.)", lambda m: m.group(1).upper(), k): camel(v) for k, v in x.items()}
+        return [camel(v) for v in x] if isinstance(x, list) else x
+
+    return json.dumps(camel(value), ensure_ascii=False)
+
+
 class NotFound(KeyError):
     """No such job, or no such group."""
 
@@ -88,14 +114,16 @@ class Jobs:
             try:
                 result = SuffixIndex.build(corpus, config)
                 end = time.time()
-                done = {"status": "completed", "result": result, "stats": result.stats.first().asDict(), "group_count": result.groups.select("group_id").distinct().count()}
+                done = {"status": "completed", "result": result, "stats": result.stats.first().asDict(), "group_count": result.group_count}
             except Exception as e:  # a job's failure is its result
                 end, done = time.time(), {"status": "failed", "error": str(e), "stack": traceback.format_exc()}
             job.update(done | {"end": end, "duration": end - job["start"]})
+            log.info("job %s %s after %.1f s", key, done["status"], job["duration"])
             job.pop("progress", None)
 
         job["thread"] = threading.Thread(target=run, daemon=True)
         job["thread"].start()
+        log.info("job %s started", key)
         return key
 
     def _job(self, key: str) -> dict:
@@ -119,14 +147,16 @@ class Jobs:
         return self.status(key)
 
     def groups(self, key: str) -> DataFrame:
-        return groups_of.group_totals(self._result(key).groups)
+        """All groups in order, those without a prefix too."""
+        result = self._result(key)
+        return groups_of.group_totals(result.groups, result.group_count, result.config.num_workers).orderBy("group_id")
 
     def group(self, key: str, group_id: int) -> dict[str, DataFrame]:
-        """The prefixes of a group and their sub-trees."""
+        """The prefixes of a group and their sub-trees; none for a group without prefixes."""
         result = self._result(key)
-        mine = result.groups.where(F.col("group_id") == group_id)
-        if mine.isEmpty():
+        if not 0 <= group_id < result.group_count:
             raise NotFound(group_id)
+        mine = result.groups.where(F.col("group_id") == group_id)
         wanted = mine.select("prefix")
         return {"prefixes": mine} | {n: getattr(result, n).join(wanted, "prefix", "left_semi") for n in ("suffixes", "nodes", "edges")}
 
@@ -134,8 +164,32 @@ class Jobs:
         job, result = self._job(key), self._result(key)
         return {"stats": job["stats"], "group_count": job["group_count"], "duration": job["duration"], "boundaries": result.boundaries}
 
+    def page(self, key: str, index: int, size: int = 1) -> DataFrame:
+        """size groups from the one with this display index on; an index out of range is taken for the nearest there is."""
+        first = min(max(1, index), max(1, self._result(key).group_count))
+        return self.groups(key).where(F.col("display_index").between(first, first + size - 1))
+
+    def json(self, key: str, what: str = "summary", group_id: int | None = None) -> str:
+        """status, summary, groups or group as JSON, in camel case; a group with its sub-trees, which come to the driver."""
+        if what == "status":
+            return _json(self.status(key))
+        if what == "groups":
+            rows = [r.asDict() for r in self.groups(key).drop("round_id").collect()]
+            return _json({"group_count": len(rows), "groups": rows})
+        if what == "summary":
+            found = self.summary(key)
+            return _json(found | {"boundaries": [r.asDict() for r in found["boundaries"].orderBy("index").collect()]})
+        if what != "group" or group_id is None:
+            raise ValueError(f"no such answer: {what}")
+        return _json({"group_id": group_id} | {n: [r.asDict() for r in df.collect()] for n, df in self.group(key, group_id).items()})
+
     def delete(self, key: str) -> None:
-        """Forgets the job; a build that runs isn't stopped."""
+        """Forgets the job and deletes its tables; a build that runs isn't stopped."""
         with self._lock:
-            if self._jobs.pop(key, None) is None:
-                raise NotFound(key)
+            job = self._jobs.pop(key, None)
+        if job is None:
+            raise NotFound(key)
+        log.info("job %s deleted", key)
+        if "result" in job:
+            for path in job["result"].written:
+                drop(job["result"].corpus.sparkSession, path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.symbols import SEPARATOR, TERMINATOR, placement, utf16_length, visible
 from .operators import allocate, prefixes, search, suffixes, tree, trie
+from .plans.engine import SuffixIndex
 from .sources import corpus as corpora
 from .storage import cut, prepare, spread
 
@@ -76,23 +77,40 @@ for _w in (1, 2, 3):
     _add_counts(f"window_counts_w{_w}", "benchmark", "item_id", _w)
 _add_counts("window_counts_conversations", "conversations", "conv_id", 3)
 
-_DISCOVERY = f"""
-s as (select text, unnest(range(1, length(text) + 1)) as p from benchmark),
-w as (select substring(text, p, k) as x, k, count(*) as f from s, range(1, 9) r(k)
-      where p + k - 1 <= length(text) and not contains(substring(text, p, k), chr(10)) and not contains(substring(text, p, k), chr(13)) group by all),
-found as (select c.x as prefix, c.f as frequency, cast(c.k as integer) as length from w c left join w q on q.k = c.k - 1 and q.x = substring(c.x, 1, c.k - 1)
-          where c.f <= {LIMIT} and (c.k = 1 or q.f > {LIMIT}))"""
+#: Widths that the SQL counts; discovery ends before.
+_WIDTHS = 8
 
 
-@_query(f"with {_DISCOVERY} select * from found")
+def _discovery_sql(table: str, key: str, limit: str, widths: int) -> str:
+    """CTEs: w, the counts of all windows of up to so many characters; found, those of discovery."""
+    ahead = ", ".join(f"lead(ch, {k}) over o as a{k}" for k in range(1, widths))
+    grown = " union all ".join(
+        f"select {k + 1} as k, {' || '.join(['ch', *(f'a{i}' for i in range(1, k + 1))])} as x, left_over from g where left_over > {k}" for k in range(widths)
+    )
+    return f"""
+c as (select {key} as d, unnest(string_split(text, '')) as ch, unnest(range(0, length(text))) as p, length(text) as n from {table} where length(text) > 0),
+g as materialized (select ch, {ahead}{', ' if ahead else ''}n - p as left_over from c window o as (partition by d order by p)),
+grown as ({grown}),
+w as materialized (select k, x, count(*) as f, max(left_over) as depth from grown where not contains(x, chr(10)) and not contains(x, chr(13)) group by k, x),
+lim as materialized (select {limit} as most),
+found as materialized (select c.x as prefix, c.f as frequency, cast(c.k as integer) as length, c.depth from w c left join w q on q.k = c.k - 1 and q.x = substring(c.x, 1, c.k - 1)
+          where c.f <= (select most from lim) and (c.k = 1 or q.f > (select most from lim)))"""
+
+
+_DISCOVERY = _discovery_sql("benchmark", "item_id", str(LIMIT), _WIDTHS)
+
+
+@_query(f"with {_DISCOVERY} select prefix, frequency, length from found")
 def sprefix_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.discover(_benchmark(spark, sf_dir), LIMIT)[0]
 
 
-@_query(f"with {_DISCOVERY} select * from found where length <= 3")
+@_query(f"with {_DISCOVERY} select prefix, frequency, length from found")
 def sprefix_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from all windows of up to three characters at once, by pruning."""
-    counts = cut(prefixes.merge_counts(*(prefixes.window_counts(_benchmark(spark, sf_dir), w) for w in (1, 2, 3))))
+    """The same from all windows up to the final width at once, by pruning."""
+    corpus = _benchmark(spark, sf_dir)
+    width = prefixes.discover(corpus, LIMIT)[1]
+    counts = cut(prefixes.merge_counts(*(prefixes.window_counts(corpus, w) for w in range(1, width + 1))))
     return prefixes.prune(prefixes.partition_by_frequency(counts, LIMIT)[0])
 
 
@@ -232,9 +250,10 @@ _SUFFIXES = {
     "nation": "select n_nationkey::bigint as d, n_name as x from nation",
     "region": "select r_regionkey::bigint as d, r_name as x from region",
     "part": "select p_partkey::bigint as d, p_name as x from part",
+    "supplier": "select s_suppkey::bigint as d, s_name as x from supplier",
     "benchmark": "select item_id as d, text as x from benchmark",
 }
-_COLUMNS = {"nation": ("n_nationkey", "n_name"), "region": ("r_regionkey", "r_name"), "part": ("p_partkey", "p_name"), "benchmark": ("item_id", "text")}
+_COLUMNS = {"nation": ("n_nationkey", "n_name"), "region": ("r_regionkey", "r_name"), "part": ("p_partkey", "p_name"), "supplier": ("s_suppkey", "s_name"), "benchmark": ("item_id", "text")}
 
 
 def _suffix_sql(table: str) -> str:
@@ -263,6 +282,8 @@ def _add_suffix_array(name: str, table: str, strategy: str) -> None:
 _add_suffix_array("suffix_array", "nation", "auto")
 _add_suffix_array("suffix_array_region", "region", "auto")
 _add_suffix_array("suffix_array_part", "part", "auto")
+_add_suffix_array("suffix_array_supplier", "supplier", "auto")
+_add_suffix_array("suffix_array_benchmark", "benchmark", "auto")
 _add_suffix_array("suffix_array_doubling", "benchmark", "doubling")
 
 
@@ -279,7 +300,7 @@ def suffix_array_superstring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TREE = """
-t as (select n_nationkey::bigint as d, n_name as x from nation),
+t as (select s_suppkey::bigint as d, s_name as x from supplier),
 i as (select d, x, unnest(range(1, length(x) + 1)) as i from t),
 o as (select substring(x, i, l) as s, l, case when i + l > length(x) then '$' || d || ',' || i else substring(x, i + l, 1) end as nxt
       from (select d, x, i, unnest(range(1, length(x) - i + 2)) as l from i)),
@@ -294,8 +315,8 @@ below as (
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The corpus of nations, its prefixes, and the elements of its trees."""
-    corpus = cut(_nation(spark, sf_dir))
+    """The corpus of suppliers' names, its prefixes, and the elements of its trees."""
+    corpus = cut(_corpus(spark, sf_dir, "supplier", "s_suppkey", "s_name"))
     single = cut(_single(corpus))
     return corpus, single, cut(suffixes.index_elements(corpus, single))
 
@@ -358,20 +379,66 @@ def tree_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # groups
 
 
-@_query(f"with {_DISCOVERY} select count(*) as prefixes, cast(sum(frequency) as bigint) as total_frequency, true as within_limit from found")
+_ASSIGNED = f"""{_DISCOVERY},
+sorted as materialized (select row_number() over (order by frequency desc, prefix) as i, prefix, frequency as f, length from found),
+many as materialized (select count(*) as n from sorted),
+fit as (  -- best fit: each where the least room is left over, else into a new bin
+  select 0::bigint as i, []::bigint[] as room
+  union all
+  select s.i, case when best is null then list_append(room, {LIMIT} - s.f)
+    else list_transform(room, lambda x, k: case when k = list_position(room, best) then x - s.f else x end) end
+  from (select fit.i, room, sorted.f, list_min(list_filter(room, lambda x: x >= sorted.f)) as best from fit join sorted on sorted.i = fit.i + 1) t join sorted s on s.i = t.i + 1),
+bins as materialized (select len(room) as b from fit where i = (select n from many)),
+least as (select case when b < 4 then b else (b + 3) // 4 * 4 end as g from bins),
+placed as (  -- the least loaded, the first among equals, for that number of groups and a few more
+  select 0::bigint as i, g + extra as g, list_resize([]::bigint[], g + extra, 0::bigint) as load, null::bigint as spot from least, range(0, 9) e(extra)
+  union all
+  select s.i, g, list_transform(load, lambda x, k: case when k = list_position(load, list_min(load)) then x + s.f else x end), list_position(load, list_min(load)) - 1
+  from placed join sorted s on s.i = placed.i + 1 where list_min(load) + s.f <= {LIMIT}),
+groups as materialized (select min(g) as g from placed where i = (select n from many)),
+assigned as materialized (select prefix, f as frequency, length, cast(spot as integer) as group_id, cast(spot // 4 as integer) as round_id from placed join sorted using (i) where g = (select g from groups))"""
+
+
+@_query(f"""with recursive {_ASSIGNED}
+select cast(n + 1 as integer) as display_index, cast(n as integer) as group_id, cast(n // 4 as integer) as round_id, coalesce(sum(frequency), 0)::bigint as total_frequency, count(prefix) as prefix_count
+from range(0, (select g from groups)) r(n) left join assigned on group_id = n group by n""")
 def group_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = prefixes.discover(_benchmark(spark, sf_dir), LIMIT)
-    totals = allocate.group_totals(allocate.allocate(found, LIMIT, 4))
-    return totals.agg(F.sum("prefix_count").alias("prefixes"), F.sum("total_frequency").alias("total_frequency"), (F.max("total_frequency") <= LIMIT).alias("within_limit"))
+    return allocate.group_totals(*allocate.allocated(found, LIMIT, 4), 4)
 
 
-@_query()
+@_query(f"with recursive {_ASSIGNED} select * from assigned")
 def task_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The assignment itself is greedy; a test holds it against brute force."""
     found, _ = prefixes.discover(_benchmark(spark, sf_dir), LIMIT)
     return allocate.allocate(found, LIMIT, 4)
 
 
+@_query(f"""with recursive {_ASSIGNED}
+select cast((select g from groups) as integer) as group_count, count(*) as prefix_count, round(count(*) / (select g from groups), 2) as prefixes_per_group from assigned""")
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = prefixes.discover(_benchmark(spark, sf_dir), LIMIT)
+    return allocate.group_stats(*allocate.allocated(found, LIMIT, 4))
+
+
+# whole builds
+
+_RULE = "greatest(50000, (select sum(strlen(text)) from documents) // 50)"
+
+
+@_query(f"""with {_discovery_sql("documents", "doc_id", _RULE, 5)}
+select prefix, frequency as leaves, cast(max(depth) + 1 as integer) as max_depth from found group by prefix, frequency""")
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build over all documents, its suffix arrays and trees included: of each sub-tree its leaves and its depth."""
+    index = SuffixIndex.build(_documents(spark, sf_dir))
+    return tree.tree_stats(index.elements).select("prefix", "leaves", "max_depth")
+
+
+@_query("""select count(*) as texts, round(coalesce(sum(strlen(text)), 0) / 1024, 2) as kilobytes,
+(select string_agg('file-' || doc_id, ' ' order by doc_id) from (select doc_id from documents order by doc_id limit 5)) as first_names from documents""")
+def corpus_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.corpus_info(_documents(spark, sf_dir)).withColumn("first_names", F.array_join("first_names", " "))
+
+
 # functions
 
 

@@ -54,6 +54,13 @@ def boundaries(corpus: DataFrame, unit: str = "bytes", separator: int = 0) -> Da
     return placed.select(F.col("index").cast("int").alias("index"), "doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
+def corpus_info(corpus: DataFrame, names: int = 5) -> DataFrame:
+    """One row (texts, kilobytes, first_names): how many texts, their size to 2 digits, and the names of the first few by doc_id."""
+    sums = corpus.agg(F.count("*").alias("texts"), F.round(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)) / 1024, 2).alias("kilobytes"))
+    first = corpus.orderBy("doc_id").limit(names).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "name"))), lambda x: x["name"]).alias("first_names"))
+    return sums.crossJoin(first)
+
+
 def superstring(corpus: DataFrame) -> DataFrame:
     """One row: all texts in the order of doc_id, a separator between neighbours, a terminator at the end. For inputs that one value can hold."""
     bad = corpus.where(F.col("text").rlike(f"[{SEPARATOR}{TERMINATOR}]"))

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from lexigrove.functions import sizing
+from lexigrove.functions import sizing, symbols
 from lexigrove.operators import allocate, block, prefixes, search, suffixes, tree, trie
 from lexigrove.plans.engine import Jobs, NotFound, NotReady, SuffixIndex
 from lexigrove.sources import corpus as corpora
@@ -224,15 +225,17 @@ def test_trie(spark):
 def test_allocation():
     assert allocate.best_fit_bins([60, 50, 40, 30, 20], 100) == 2
     assert allocate.balance([60, 50, 40, 30, 20], 2, 100) is None
-    assert allocate.assign([60, 50, 40, 30, 20], 120, 2) == [0, 1, 1, 0, 0]
-    assert max(allocate.assign([60, 50, 40, 30, 20], 100, 4)) == 2
-    assert allocate.assign([], 100, 4) == []
+    assert allocate.assign([60, 50, 40, 30, 20], 120, 2) == ([0, 1, 1, 0, 0], 2)
+    assert max(allocate.assign([60, 50, 40, 30, 20], 100, 4)[0]) == 2
+    assert allocate.assign([], 100, 4) == ([], 0)
+    assert allocate.assign([60] * 5, 100, 4) == ([0, 1, 2, 3, 4], 8)
     with pytest.raises(ValueError):
         allocate.assign([200], 100, 2)
     r = random.Random(1)
     for _ in range(20):
         f = sorted((r.randrange(1, 100) for _ in range(60)), reverse=True)
-        where = allocate.assign(f, 100, 4)
+        where, groups = allocate.assign(f, 100, 4)
+        assert max(where) < groups
         loads = [sum(x for x, g in zip(f, where, strict=True) if g == k) for k in range(max(where) + 1)]
         assert max(loads) <= 100
 
@@ -276,6 +279,11 @@ def test_jobs(spark, tmp_path):
     key = jobs.submit(corpus(spark, "banana", "bandana"), num_workers=2)
     assert jobs.wait(key, 300)["status"] == "completed"
     assert jobs.summary(key)["stats"]["total_suffixes"] == 13
+    assert json.loads(jobs.json(key, "status"))["groupCount"] == jobs.status(key)["group_count"]
+    assert json.loads(jobs.json(key))["boundaries"][1]["start"] == 6
+    assert json.loads(jobs.json(key, "group", 0))["prefixes"][0]["groupId"] == 0
+    with pytest.raises(ValueError):
+        jobs.json(key, "no such")
     listed = jobs.groups(key).collect()
     assert sum(r.total_frequency for r in listed) == 13 and listed[0].display_index == listed[0].group_id + 1
     one = jobs.group(key, listed[0].group_id)
@@ -284,7 +292,10 @@ def test_jobs(spark, tmp_path):
         jobs.group(key, 99)
     jobs._result(key).write(str(tmp_path / "out"), "json")
     assert spark.read.json(str(tmp_path / "out/prefixes")).count() == 4
+    tables = jobs._result(key).written
+    assert all(os.path.isdir(x.removeprefix("file://")) for x in tables)
     jobs.delete(key)
+    assert not any(os.path.isdir(x.removeprefix("file://")) for x in tables)
     with pytest.raises(NotFound):
         jobs.status(key)
     bad = jobs.submit(corpus(spark, "a" * 500), memory_limit=100, max_window=3)
@@ -293,6 +304,37 @@ def test_jobs(spark, tmp_path):
         jobs.summary(bad)
 
 
+def test_groups_without_prefixes_are_groups_too(spark):
+    jobs = Jobs()
+    key = jobs.submit(corpus(spark, *("abcde"[k] * 60 for k in range(5))), num_workers=4, memory_limit=100)
+    assert jobs.wait(key, 300)["group_count"] == 8
+    listed = jobs.groups(key).collect()
+    assert [r.display_index for r in listed] == list(range(1, 9)) and [r.prefix_count for r in listed] == [1] * 5 + [0] * 3
+    empty = jobs.group(key, 7)
+    assert all(df.count() == 0 for df in empty.values())
+    assert [r.group_id for r in jobs.page(key, 0, 2).collect()] == [0, 1] and [r.group_id for r in jobs.page(key, 99).collect()] == [7]
+    assert json.loads(jobs.json(key, "groups"))["groupCount"] == 8
+    with pytest.raises(NotFound):
+        jobs.group(key, 8)
+
+
+def test_bytes_that_are_not_text_are_left_out(spark):
+    c = corpus(spark, "a\ufffdb", "ab")
+    assert {(r.prefix, r.frequency) for r in prefixes.window_counts(c, 1).collect()} == {("a", 2), ("b", 2)}
+    assert {r.prefix for r in prefixes.windows(c, 2).collect()} == {"ab"}
+
+
+def test_corpus_info(spark):
+    row = corpora.corpus_info(corpus(spark, *("x" * 1000 for _ in range(7)))).first()
+    assert (row.texts, row.kilobytes, row.first_names) == (7, 6.84, ["t0", "t1", "t2", "t3", "t4"])
+
+
+def test_symbols(spark):
+    df = spark.createDataFrame([(symbols.SEPARATOR,), (symbols.TERMINATOR,), ("x",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(symbols.is_separator(df.s), symbols.is_terminator(df.s), symbols.visible(df.s)).collect()]
+    assert got == [(True, False, "#"), (False, True, "$"), (False, False, "x"), (False, False, "")]
+
+
 def test_text_files(spark, tmp_path):
     for name, text in (("b.txt", "two\nlines\n"), ("a.txt", "one")):
         (tmp_path / name).write_text(text)
