@@ -26,7 +26,7 @@ from .near import folded
 
 _U = np.uint64
 #: Words of a shard, and of the texts that are scored in one go over the corpus; a task holds some 80 bytes for each.
-SHARD_WORDS, TEXT_WORDS = 4_000_000, 2_000_000
+SHARD_WORDS, TEXT_WORDS = 3_000_000, 1_500_000
 #: Weight of the shorter context's probability, in occurrences.
 ALPHA = 1.0
 
@@ -44,8 +44,8 @@ def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
     n = len(a)
     key = a.astype(_U) << _U(32)
     key[:-1] |= a[1:].astype(_U) + _U(1)
-    order = np.argsort(key)
-    rank = np.empty(n + 1, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
 
     def rerank(at: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -57,11 +57,13 @@ def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
         rank[place] = np.repeat(at[begin], size)
         return at[np.repeat(size > 1, size)]
 
-    tied = rerank(np.arange(n), order, key[order])
+    key = key[order]
+    tied = rerank(np.arange(n, dtype=np.int32), order, key)
+    del key
     h = 2
     while h < depth and len(tied):
         place = order[tied]
-        key = (rank[place].astype(_U) << _U(32)) | (rank[np.minimum(place + h, n)] + 1).astype(_U)
+        key = (rank[place].astype(_U) << _U(32)) | (rank[np.minimum(place.astype(np.int64) + h, n)] + 1).astype(_U)
         by = np.argsort(key)
         place, key = place[by], key[by]
         order[tied] = place
@@ -112,7 +114,7 @@ def _edge(block: Block, order: np.ndarray, at: np.ndarray, rank: np.ndarray, len
         half = np.abs(g - b) >> 1
         test = g + side * np.maximum(1, np.minimum(half, step))
         x, m = at[open_], length[open_]
-        y = order[test]
+        y = order[test].astype(np.int64)
         inside = y + m <= n
         y = np.where(inside, y, x)
         first, last = np.minimum(x, y), np.maximum(x, y)
@@ -130,41 +132,48 @@ def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts
     owner: the text that a document is itself (-1: none); its places count for nothing at the text's same places.
     """
     d, total = len(size), len(texts.code)
-    kinds, ids = np.unique(np.concatenate([code, texts.code]), return_inverse=True)
+    both = np.concatenate([code, texts.code])
+    kinds = np.unique(both)
+    ids = np.searchsorted(kinds, both).astype(np.int32)
+    del both
     sizes = np.concatenate([size, texts.size])
     length = sizes + 1
     begin = np.cumsum(length) - length
     end = begin + sizes
     n = int(length.sum())
-    text = np.empty(n, np.int64)
-    document = np.repeat(np.arange(len(sizes)), length)
+    text = np.empty(n, np.int32)
+    document = np.repeat(np.arange(len(sizes), dtype=np.int32), length)
     there = ranges(begin, sizes)
     text[(begin + end - 1)[document[there]] - there] = ids + 1
+    del there
     text[end] = len(kinds) + 1 + np.arange(len(sizes))  # an end of its own for each
     order = suffix_array(text, n)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = places
     mine = np.zeros(n, bool)
     mine[: int(length[:d].sum())] = True
     mine[end[:d]] = False
-    block = Block(pa.nulls(0), text.astype(np.int32), begin, end, np.arange(len(kinds) + len(sizes)))
+    block = Block(pa.nulls(0), text, begin, end, np.arange(len(kinds) + len(sizes)))
     row = np.repeat(np.arange(len(texts.size)), texts.size)
     lead = texts.lead[row]
     q_end = end[d + row]
     at = q_end - 1 - (np.arange(total) - (np.cumsum(texts.size) - texts.size)[row])
-    at_rank = rank[at]
+    at_rank = rank[at].astype(np.int64)
+    del rank
     is_mine = mine[order]
-    places = np.arange(n)
-    before = np.maximum.accumulate(np.where(is_mine, places, -1))
-    behind = np.minimum.accumulate(np.where(is_mine, places, n)[::-1])[::-1]
+    del mine
+    before = np.maximum.accumulate(np.where(is_mine, places, np.int32(-1)))
+    behind = np.minimum.accumulate(np.where(is_mine, places, np.int32(n))[::-1])[::-1]
+    del places
     own = np.append(owner, np.full(len(texts.size), -1))
 
     def nearest(near: np.ndarray, side: int) -> np.ndarray:
         """The common run with the nearest suffix of the shard on that side."""
-        found = near[at_rank]
+        found = near[at_rank].astype(np.int64)
         while True:
             ok = (found >= 0) & (found < n)
-            x = order[np.where(ok, found, 0)]
+            x = order[np.where(ok, found, 0)].astype(np.int64)
             twin = ok & (own[document[x]] == lead) & (end[document[x]] - x == q_end - at)
             if not twin.any():
                 break
@@ -174,13 +183,14 @@ def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts
         return block.common(at, x, most)
 
     longest = np.maximum(nearest(before, -1), nearest(behind, 1))
+    del before, behind, document
     twins = np.bincount(owner[owner >= 0], minlength=len(texts.size))[lead]
-    running = np.concatenate([[0], np.cumsum(is_mine)])
+    running = np.concatenate([np.zeros(1, np.int32), np.cumsum(is_mine, dtype=np.int32)])
     count = np.zeros(total, np.int64)
     some = np.flatnonzero(longest > 0)
     low = _edge(block, order, at[some], at_rank[some], longest[some], -1)
     high = _edge(block, order, at[some], at_rank[some], longest[some], 1)
-    count[some] = running[high + 1] - running[low] - twins[some]
+    count[some] = running[high + 1].astype(np.int64) - running[low] - twins[some]
     single = np.bincount(ids[: len(code)], minlength=len(kinds))[ids[len(code) :]] - twins
     return longest, count, single
 
