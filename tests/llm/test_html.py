@@ -97,3 +97,36 @@ def test_rows(spark):
     out = sorted(map(tuple, html.extract_pages(df).select("page_id", "n_chars").collect()), key=str)
     assert len(out) == 5 and (2, None) in out and (1, 0) in out and (None, 1) in out and (3, 1_499_999) in out
     assert html.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_text_against_definition(seed):
+    """What reaches the threshold, down from the body, adds the best subtree that it holds; the text is that of all these, in order."""
+    r = random.Random(100 + seed)
+    source = "<body>" + "".join(r.choice(["<div>", "<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<ul><li>", "</ul>", f"words {i} of text here ", "more text than that, quite a lot of it ", "<br>"]) for i in range(50))
+    page = html.parse(source)
+    value, sums = brute(page)
+    n = len(page.tags)
+    below = {i: {i} for i in range(n)}
+    for i in range(n - 1, 0, -1):
+        below[page.parents[i]] |= below[i]
+    best = max(sorted(below[page.body]), key=lambda i: (round(sums[i], 9), -i))
+    way = [best]
+    while way[-1] != page.body:
+        way.append(page.parents[way[-1]])
+    threshold = min(value[i] for i in way)
+    chosen = {best}
+
+    def visit(i):
+        top = max(sorted(below[i]), key=lambda k: (round(sums[k], 9), -k))
+        if value[i] >= threshold - 1e-12 and sums[top] > 0:
+            chosen.add(top)
+            for j in range(n):
+                if page.parents[j] == i:
+                    visit(j)
+
+    visit(page.body)
+    inside = set().union(*(below[i] for i in chosen))
+    parts = "".join(s for o, s in zip(page.owners, page.segments, strict=True) if o in inside)
+    lines = [" ".join(x.split()) for x in parts.split("\n")]
+    assert html.extract(source).text == "\n".join(x for x in lines if x)

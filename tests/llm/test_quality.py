@@ -110,3 +110,60 @@ def test_statistics_of_one_text_do_not_depend_on_its_neighbours():
     column = {n: together[:, i] for i, n in enumerate(quality.STATISTICS)}
     assert column["distinct"][0] == 3 / 5 and column["most_frequent"][0] == 2 / 5
     assert column["distinct_lines"][4] == pytest.approx(2 / 3)
+
+
+def test_scores_equal_a_plain_fit(spark):
+    """The whole of it again, text by text: lexicon by sets, one matrix, the minimax form of the calibration."""
+    docs, labels = make(260, seed=8)
+    docs += [(1000, None, "", 0), (1001, "", "", 0)]
+    known = [x for x in labels if x[0] < 200] + [(3, 0, 0), (7, None, 1), (None, 1, 0)]
+    table = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.probability for r in quality.score(spark.createDataFrame(docs, SCHEMA).repartition(3), table).collect()}
+
+    text = {i: t for i, t, *_ in docs}
+    good, toxic = {}, {}
+    for i, q, t in known:
+        if i is not None and q is not None:
+            good[i] = min(good.get(i, 1), int(q == 1 and not t))
+            toxic[i] = max(toxic.get(i, 0), t)
+    held = {r.i for r in spark.createDataFrame([(i,) for i in good], "i long").where(f"pmod(xxhash64(i, {quality.SEED}), {quality.HELD_OUT}) = 0").collect()}
+    fitted, kept_back = [i for i in good if i not in held], [i for i in good if i in held]
+
+    def codes(t):
+        raw, offsets = quality.words.text_buffer(pa.array([t]))
+        soft = quality.folded(raw)
+        start, end, _ = quality.words.word_spans(soft, offsets)
+        return [set(c.tolist()) for c in quality.lexical_codes(soft, start, end)]
+
+    bad_of, good_of = {}, {}
+    for i in fitted:
+        for some in codes(text[i]):
+            for c in some:
+                side = bad_of if toxic[i] else good_of
+                side[c] = side.get(c, 0) + 1
+    n_bad = sum(toxic[i] for i in fitted)
+    n_good = len(fitted) - n_bad
+    weight = {}
+    for c in {*bad_of, *good_of}:
+        b, g = bad_of.get(c, 0), good_of.get(c, 0)
+        if b + g >= quality.LEAST_DOCS:
+            share = (b + g) / len(fitted)
+            odds = np.log((b + 8 * share) / (n_bad + 8)) - np.log((g + 8 * share) / (n_good + 8))
+            if odds >= quality.LEAST_ODDS:
+                weight[c] = odds
+    code = np.array(sorted(weight), np.uint64)
+    lexicon = quality.Lexicon(code, np.array([weight[int(c)] for c in code]))
+    stats = {i: quality.statistics(pa.array([t]), lexicon)[0][0] for i, t in text.items() if t}
+    x = np.array([stats[i] for i in fitted])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    phi = lambda ids: quality.fourier((np.array([stats[i] for i in ids]) - mean) / scale)
+    a = phi(fitted)
+    penalty = np.diag([quality.RIDGE] * quality.FEATURES + [1e-9])
+    w = np.linalg.solve(a.T @ a + penalty, a.T @ np.array([good[i] for i in fitted], float))
+    s, y = np.round(phi(kept_back) @ w, 9), np.array([good[i] for i in kept_back], float)
+    xs = np.unique(s)
+    level = [max(min(y[(s >= lo) & (s <= hi)].mean() for hi in xs if hi >= v) for lo in xs if lo <= v) for v in xs]
+    for i in text:
+        want = float(np.interp(phi([i]) @ w, xs, level)[0]) if text[i] else 0.0
+        assert got[i] == pytest.approx(want, abs=1e-4)
