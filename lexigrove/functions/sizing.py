@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 BYTES_PER_SUFFIX = 20
@@ -55,6 +56,16 @@ class IndexConfig:
     free_bytes: float = field(default=8e9)
     total_bytes: float = field(default=16e9)
 
+    @classmethod
+    def from_options(cls, options: dict[str, str | int | None]) -> IndexConfig:
+        """From options as a form sends them (numWorkers, memoryLimit, tailLength): the whole number that a value begins with; the default where there is none, or 0."""
+
+        def number(name: str) -> int | None:
+            found = re.match(r"\s*[+-]?\d+", str(options.get(name) or ""))
+            return int(found.group()) or None if found else None
+
+        return cls(num_workers=number("numWorkers") or 4, memory_limit=number("memoryLimit"), tail_length=number("tailLength"))
+
     def __post_init__(self) -> None:
         if self.boundary not in ("document", "superstring"):
             raise ValueError(f"no such boundary: {self.boundary}")

@@ -27,6 +27,18 @@ def sort_key(suffix: Column) -> Column:
     return F.translate(F.regexp_replace(suffix, "([\u0000-\u0002])", "\u0002$1"), TERMINATOR + SEPARATOR, "\u0000\u0001")
 
 
+def failure_table(pattern: str) -> list[int]:
+    """For each beginning of the pattern, how long its longest proper beginning is that also ends it."""
+    out = [0] * len(pattern)
+    k = 0
+    for i in range(1, len(pattern)):
+        while k and pattern[k] != pattern[i]:
+            k = out[k - 1]
+        k += pattern[k] == pattern[i]
+        out[i] = k
+    return out
+
+
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranges import RANGE, first_record, record
 from ..functions.symbols import SEPARATOR, TERMINATOR, sort_key
 from ..storage import checked_broadcast, cut, cut_path
 from . import tree
@@ -218,3 +219,17 @@ def _sorted(corpus: DataFrame, prefixes: DataFrame, joined: bool, max_positions:
     least = run.withColumn("lcp", F.min("lcp").over(Window.partitionBy("prefix", "_run"))).where("_kept")
     again = F.row_number().over(order) - 1
     return least.select("prefix", again.cast("long").alias("rank"), "doc_id", "pos", F.when(again == 0, 0).otherwise(F.col("lcp")).alias("lcp"))
+
+
+def lcp_ranges(array: DataFrame, corpus: DataFrame, size: int = RANGE) -> DataFrame:
+    """(prefix, rank, doc_id, pos, char, range, offset): the record of each suffix of an array against the one before it in its prefix; see functions.ranges."""
+    order = Window.partitionBy("prefix").orderBy("rank")
+    pairs = array.select("prefix", "rank", "doc_id", "pos", "lcp", F.lag("doc_id").over(order).alias("d2"), F.lag("pos").over(order).alias("p2"))
+    text, other = corpus.select("doc_id", "text"), corpus.select(F.col("doc_id").alias("d2"), F.col("text").alias("t2"))
+    # only what the records show is cut out of the texts, so no suffix is written out
+    cut_out = lambda t, p: F.substring(t, (p + F.col("lcp") + 1).cast("int"), F.lit(size))
+    both = pairs.join(text, "doc_id").withColumn("own", cut_out(F.col("text"), F.col("pos"))).drop("text")
+    both = both.join(other, "d2", "left").withColumn("theirs", cut_out(F.col("t2"), F.col("p2"))).drop("t2")
+    found = F.when(F.col("d2").isNull(), first_record(F.col("own"), size)).otherwise(record(F.col("own"), F.col("theirs"), F.lit(0), size))
+    shown = both.withColumn("r", found)
+    return shown.select("prefix", "rank", "doc_id", "pos", "r.char", F.col("r.range").alias("range"), F.when(F.col("d2").isNull(), 0).otherwise(F.col("lcp")).alias("offset"))

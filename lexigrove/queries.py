@@ -207,14 +207,14 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-with b as (select cast(row_number() over (order by n_nationkey) - 1 as integer) as index, 'file-' || n_nationkey as name, length(n_name) as n,
-coalesce(sum(length(n_name)) over (order by n_nationkey rows between unbounded preceding and 1 preceding), 0)::bigint as start from nation),
-p as (select unnest(range(0, (select sum(length(n_name)) + 20 from nation)::bigint)) as pos),
+with b as (select cast(row_number() over (order by s_suppkey) - 1 as integer) as index, 'file-' || s_suppkey as name, length(s_name) as n,
+coalesce(sum(length(s_name)) over (order by s_suppkey rows between unbounded preceding and 1 preceding), 0)::bigint as start from supplier),
+p as (select unnest(range(0, (select sum(length(s_name)) + 20 from supplier)::bigint)) as pos),
 l as (select * from b order by start + n desc, index desc limit 1)
 select p.pos, coalesce(b.index, l.index) as index, coalesce(b.name, l.name) as name, coalesce(p.pos - b.start, l.n)::bigint as local
 from p cross join l left join b on p.pos >= b.start and p.pos < b.start + b.n""")
 def position_to_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = cut(corpora.boundaries(_nation(spark, sf_dir), unit="chars"))
+    bounds = cut(corpora.boundaries(_corpus(spark, sf_dir, "supplier", "s_suppkey", "s_name"), unit="chars"))
     total = bounds.agg(F.max("end")).first()[0] or 0
     return search.position_to_document(spark.range(total + 20).withColumnRenamed("id", "pos"), bounds)
 
@@ -287,6 +287,16 @@ _add_suffix_array("suffix_array_benchmark", "benchmark", "auto")
 _add_suffix_array("suffix_array_doubling", "benchmark", "doubling")
 
 
+@_query(f"""with o as ({_suffix_sql("supplier")}), t as ({_SUFFIXES["supplier"]}),
+l as (select *, lag(doc_id) over w as d2, lag(pos) over w as p2 from o window w as (partition by prefix order by rank)),
+s as (select l.*, substring(t.x, l.pos + l.lcp + 1, 32) as own, substring(u.x, l.p2 + l.lcp + 1, 1) as theirs from l join t on t.d = l.doc_id left join t u on u.d = l.d2)
+select prefix, rank, doc_id, pos, case when d2 is null or own = '' or theirs = '' then chr(0) else theirs end as char,
+case when d2 is not null and theirs = '' then '' else own end as range, lcp as offset from s""")
+def lcp_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = cut(_corpus(spark, sf_dir, "supplier", "s_suppkey", "s_name"))
+    return suffixes.lcp_ranges(suffixes.suffix_array(corpus, cut(_single(corpus))), corpus)
+
+
 @_query("""
 with j as (select string_agg(n_name, chr(57344) order by n_nationkey) || chr(57345) as x from nation),
 s as (select unnest(range(1, length(x) + 1)) as p, x from j),
@@ -442,16 +452,16 @@ def corpus_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 # functions
 
 
-@_query("select n_nationkey, n_name || '#' || n_name || '$' as shown from nation")
+@_query("select s_suppkey, s_name || '#' || s_name || '$' as shown from supplier")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return df.select("n_nationkey", visible(F.concat("n_name", F.lit(SEPARATOR), "n_name", F.lit(TERMINATOR))).alias("shown"))
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return df.select("s_suppkey", visible(F.concat("s_name", F.lit(SEPARATOR), "s_name", F.lit(TERMINATOR))).alias("shown"))
 
 
-@_query("""select r_regionkey, cast(abs(case when h >= 2147483648 then h - 4294967296 else h end) % 4 as integer) as part from
-(select r_regionkey, list_reduce(list_prepend(0::bigint, list_transform(string_split(r_name, ''), lambda c: ascii(c)::bigint)), lambda a, c: (a * 31 + c) % 4294967296) as h from region)""")
+@_query("""select s_suppkey, cast(abs(case when h >= 2147483648 then h - 4294967296 else h end) % 4 as integer) as part from
+(select s_suppkey, list_reduce(list_prepend(0::bigint, list_transform(string_split(s_name, ''), lambda c: ascii(c)::bigint)), lambda a, c: (a * 31 + c) % 4294967296) as h from supplier)""")
 def hash_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", placement(F.col("r_name"), 4).alias("part"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", placement(F.col("s_name"), 4).alias("part"))
 
 
 @_query("select item_id, length(text) + (length(text) - length(regexp_replace(text, '[\\x{10000}-\\x{10FFFF}]', '', 'g'))) as utf16 from benchmark")

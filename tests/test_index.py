@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from lexigrove.functions import sizing, symbols
+from lexigrove.functions import ranges, sizing, symbols
 from lexigrove.operators import allocate, block, prefixes, search, suffixes, tree, trie
 from lexigrove.plans.engine import Jobs, NotFound, NotReady, SuffixIndex
 from lexigrove.sources import corpus as corpora
@@ -329,6 +329,41 @@ def test_corpus_info(spark):
     assert (row.texts, row.kilobytes, row.first_names) == (7, 6.84, ["t0", "t1", "t2", "t3", "t4"])
 
 
+def test_records_of_ranges(spark):
+    """compare() agrees with the order of the suffixes, and its record is the one against the smaller."""
+    r = random.Random(6)
+    text = "".join(r.choice("ab") for _ in range(120)) + "\ue000ab\ue001"
+    key = lambda s: [(-2 if c == "\ue001" else -1 if c == "\ue000" else ord(c)) for c in s]
+    order = sorted(range(len(text)), key=lambda p: key(text[p:]))
+
+    def against(p, q, size=8):
+        n = len(os.path.commonprefix([text[p:], text[q:]]))
+        if max(p, q) + n >= len(text):
+            return ("\0", "", n)
+        return (text[q + n], text[p + n : p + n + size], n)
+
+    rows = []
+    for _ in range(200):
+        x, y, z = sorted(r.sample(range(len(text)), 3))
+        a, b = (order[y], order[z]) if r.random() < 0.5 else (order[z], order[y])
+        rows.append((a, against(a, order[x]), b, against(b, order[x]), order[y], order[z]))
+    df = spark.createDataFrame(rows, f"a int, ra {ranges.TYPE}, b int, rb {ranges.TYPE}, first int, second int")
+    for row in df.select("*", ranges.compare(df.a, df.ra, df.b, df.rb).alias("x")).collect():
+        if row.x.record.offset < 0:  # the ranges don't tell
+            assert row.ra.offset == row.rb.offset and -row.x.record.offset >= row.ra.offset
+            continue
+        assert (row.x.smaller, row.x.larger) == (row.first, row.second)
+        want = against(row.second, row.first, 1000)
+        assert row.x.record.offset == want[2] and row.x.record["range"][:1] == want[1][:1] and row.x.record.char == want[0]
+
+
+def test_options_and_failure_table():
+    made = sizing.IndexConfig.from_options({"numWorkers": "8 threads", "memoryLimit": "50", "tailLength": "x"})
+    assert (made.num_workers, made.memory_limit, made.tail_length, made.resolved_limit(10)) == (8, 50, None, 100)
+    assert sizing.IndexConfig.from_options({"numWorkers": "0", "memoryLimit": None}).num_workers == 4
+    assert symbols.failure_table("abacabab") == [0, 0, 1, 0, 1, 2, 3, 2] and symbols.failure_table("") == []
+
+
 def test_symbols(spark):
     df = spark.createDataFrame([(symbols.SEPARATOR,), (symbols.TERMINATOR,), ("x",), (None,)], "s string")
     got = [tuple(r) for r in df.select(symbols.is_separator(df.s), symbols.is_terminator(df.s), symbols.visible(df.s)).collect()]
