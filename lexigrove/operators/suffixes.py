@@ -7,6 +7,7 @@ ranks come by prefix doubling, in which nothing longer than a few characters is
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ranges import RANGE, first_record, record
 from ..functions.symbols import SEPARATOR, TERMINATOR, sort_key
-from ..storage import checked_broadcast, cut, cut_path
+from ..storage import checked_broadcast, cut, cut_path, drop, new_folder
 from . import tree
 from .block import Block, buckets, suffix_order
 from .prefixes import windows
@@ -119,10 +120,12 @@ def _places(path: str, special: str, prefixes: tuple[str, ...], terminator: str
     return buckets(_block(path, special), list(prefixes), terminator)
 
 
-def _build(path: str, special: str, prefixes: list[str], task_of: np.ndarray, terminator: str | None, end: int, max_positions: int | None):
+def _build(path: str, special: str, prefixes: list[str], task_of: np.ndarray, terminator: str | None, end: int, max_positions: int | None, folder: str):
     names = tuple(prefixes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
         for task in (x for batch in batches for x in batch.column(0).to_pylist()):
             block, found = _block(path, special), _places(path, special, names, terminator)
             at = np.flatnonzero(np.append(task_of == task, False)[found])
@@ -139,8 +142,12 @@ def _build(path: str, special: str, prefixes: list[str], task_of: np.ndarray, te
             ids = block.ids.take(pa.array(doc))
             valid = None if not ids.null_count else ids.is_valid().to_numpy(zero_copy_only=False)
             room = block.end[doc] - place
-            out = tree.table(pa.array(names, pa.string()).take(pa.array(number)), lcp, room, place - block.begin[doc], ids.fill_null(0).to_numpy(zero_copy_only=False), valid, begins, end)
-            yield from out.to_batches(max_chunksize=1 << 16)
+            prefix = pa.DictionaryArray.from_arrays(pa.array(number), pa.array(names, pa.string()))
+            out = tree.table(prefix, lcp, room, place - block.begin[doc], ids.fill_null(0).to_numpy(zero_copy_only=False), valid, begins, end)
+            # a name of its own for each attempt: only that of the one that counts comes back
+            name = f"{uuid.uuid4().hex}.parquet"
+            pyarrow.parquet.write_table(out, f"{root}/{name}", filesystem=system, store_schema=False)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
     return build
 
@@ -156,7 +163,9 @@ def _shared_out(frequencies: list[int], tasks: int) -> np.ndarray:
     return out
 
 
-def _in_block(corpus: DataFrame, prefixes: DataFrame, boundary: str, special: str, terminator: str | None, max_positions: int | None) -> DataFrame:
+def _in_block(corpus: DataFrame, prefixes: DataFrame, boundary: str, special: str, terminator: str | None, max_positions: int | None, folder: str | None = None) -> DataFrame:
+    """tree.elements of a block, each task's written by itself: rows of texts' places never pass through the JVM."""
+    folder = folder or new_folder(corpus.sparkSession)
     spark = corpus.sparkSession
     _, path = cut_path(corpus.select("doc_id", "text"))
     # a block's prefixes are bounded as the block is; without a frequency they count alike
@@ -165,26 +174,30 @@ def _in_block(corpus: DataFrame, prefixes: DataFrame, boundary: str, special: st
     total = sum(f for _, f in rows)
     tasks = max(1, min(len(rows), max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_SUFFIXES))))
     task_of = _shared_out([f for _, f in rows], tasks)
-    build = _build(path, special, [p for p, _ in rows], task_of, terminator, 1 if boundary == "document" else 0, max_positions)
-    return spark.range(tasks, numPartitions=tasks).mapInArrow(build, tree.ELEMENTS)
+    build = _build(path, special, [p for p, _ in rows], task_of, terminator, 1 if boundary == "document" else 0, max_positions, folder)
+    names = [r.name for r in spark.range(tasks, numPartitions=tasks).mapInArrow(build, "name string").collect()]  # one a task
+    drop(spark, path)
+    return spark.read.schema(tree.ELEMENTS).parquet(*(f"{folder}/{n}" for n in names))
 
 
 def _few_characters(corpus: DataFrame) -> bool:
     return (corpus.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0) <= BLOCK_CHARS
 
 
-def index_elements(corpus: DataFrame, prefixes: DataFrame, boundary: str = "document", complete: bool = False, max_positions: int | None = None, strategy: str = "auto") -> DataFrame:
-    """The suffixes of each prefix in order and the sub-trees over them, in one table; see tree.elements.
+def index_elements(corpus: DataFrame, prefixes: DataFrame, boundary: str = "document", complete: bool = False, max_positions: int | None = None, strategy: str = "auto", folder: str | None = None) -> DataFrame:
+    """The suffixes of each prefix in order and the sub-trees over them, in one table, written into folder if given; see tree.elements.
 
     boundary superstring: corpus is one text with separators and a terminator. complete: a prefix may end in the terminator, which stands for a text's end.
     """
     joined = boundary == "superstring"
     if strategy == "block" or (strategy == "auto" and _few_characters(corpus)):
-        return _in_block(corpus, prefixes, boundary, TERMINATOR + SEPARATOR if joined else "", TERMINATOR if complete and not joined else None, max_positions)
+        return _in_block(corpus, prefixes, boundary, TERMINATOR + SEPARATOR if joined else "", TERMINATOR if complete and not joined else None, max_positions, folder)
     if complete and not joined:
         ended = corpus.withColumn("text", F.concat("text", F.lit(TERMINATOR)))
-        return tree.elements(_without_terminators(_sorted(ended, prefixes, True, max_positions), corpus), corpus, boundary)
-    return tree.elements(_sorted(corpus, prefixes, joined, max_positions), corpus, boundary)
+        array = _without_terminators(_sorted(ended, prefixes, True, max_positions), corpus)
+    else:
+        array = _sorted(corpus, prefixes, joined, max_positions)
+    return cut_path(tree.elements(array, corpus, boundary), folder)[0]
 
 
 def _without_terminators(array: DataFrame, corpus: DataFrame) -> DataFrame:

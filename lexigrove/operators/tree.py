@@ -17,6 +17,9 @@ from ..functions.symbols import PREVIEW, visible
 ELEMENTS = "prefix string, node_id int, depth int, type string, rank long, lcp int, suffix_start long, doc_id long, parent int, start long, end long"
 
 
+SCHEMA = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[x.split()[1]]) for x in ELEMENTS.split(", ")])
+
+
 def _smaller(x: np.ndarray, left: bool) -> np.ndarray:
     """For each entry the nearest one on that side that is smaller: its place, -1 or len(x) if there is none."""
     n = len(x)
@@ -88,11 +91,11 @@ def table(prefix: pa.Array, lcp: np.ndarray, room: np.ndarray, pos: np.ndarray,
     """ELEMENTS of the trees of suffixes in order: a row for each root, inner node and leaf, with the edge that leads to it.
 
     prefix: of each suffix. room: characters of each. end: 1 if a text's end is a symbol of its own, so that equal suffixes part there; else 0.
-    An edge's label is a range of the text of its doc_id.
+    An edge's label is a range of the text of its doc_id. Strings may come as a dictionary's.
     """
     n = len(lcp)
     if not n:
-        return pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in ELEMENTS.split(", ")]).empty_table()
+        return SCHEMA.empty_table()
     s = shape(lcp, begins)
     starts = np.flatnonzero(begins)
     roots, inner = len(starts), len(s.call)
@@ -114,7 +117,7 @@ def table(prefix: pa.Array, lcp: np.ndarray, room: np.ndarray, pos: np.ndarray,
     if doc_valid is not None:
         no_doc |= ~column(bool, True, doc_valid[s.first], doc_valid)
     first = pos[s.first]
-    kinds = pa.DictionaryArray.from_arrays(pa.array(column(np.int8, 0, 1, 2)), pa.array(["root", "internal", "leaf"])).cast(pa.string())
+    kinds = pa.DictionaryArray.from_arrays(pa.array(column(np.int8, 0, 1, 2)), pa.array(["root", "internal", "leaf"]))
     return pa.table(
         {
             "prefix": prefix.take(pa.array(owner)),
@@ -132,8 +135,6 @@ def table(prefix: pa.Array, lcp: np.ndarray, room: np.ndarray, pos: np.ndarray,
     )
 
 
-_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-
 
 def _grow(end: int):
     def grow(rows: pa.Table) -> pa.Table:
@@ -143,7 +144,7 @@ def _grow(end: int):
         begins = np.zeros(len(lcp), bool)
         begins[:1] = True
         valid = None if docs.null_count == 0 else docs.is_valid().to_numpy(zero_copy_only=False)
-        return table(rows["prefix"].combine_chunks(), lcp, room, pos, docs.fill_null(0).to_numpy(), valid, begins, end)
+        return table(rows["prefix"].combine_chunks(), lcp, room, pos, docs.fill_null(0).to_numpy(), valid, begins, end).cast(SCHEMA)
 
     return grow
 

@@ -21,7 +21,7 @@ from ..operators import prefixes as prefixes_of
 from ..operators import suffixes as suffixes_of
 from ..operators import tree
 from ..sources.corpus import boundaries, superstring, write_index
-from ..storage import cut_path, drop, prepare
+from ..storage import cut_path, drop, new_folder, prepare
 
 log = logging.getLogger("lexigrove")
 
@@ -66,7 +66,8 @@ class SuffixIndex:
         found = cut(found)
         text = superstring(corpus) if joined else corpus
         grouped, group_count = groups_of.allocated(found, limit, config.num_workers)
-        pieces = cut(suffixes_of.index_elements(text, found, config.boundary, config.complete, config.max_positions))
+        written.append(new_folder(corpus.sparkSession))
+        pieces = suffixes_of.index_elements(text, found, config.boundary, config.complete, config.max_positions, folder=written[-1])
         return cls(
             config, corpus, found, grouped, group_count, tree.suffixes(pieces), pieces, tree.nodes(pieces, text), tree.edges(pieces, text),
             boundaries(corpus), tree.index_stats(pieces, found, limit, width), prefixes_of.uncovered(corpus, found), written,

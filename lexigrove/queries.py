@@ -328,7 +328,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     """The corpus of suppliers' names, its prefixes, and the elements of its trees."""
     corpus = cut(_corpus(spark, sf_dir, "supplier", "s_suppkey", "s_name"))
     single = cut(_single(corpus))
-    return corpus, single, cut(suffixes.index_elements(corpus, single))
+    return corpus, single, suffixes.index_elements(corpus, single)
 
 
 def _labelled(corpus: DataFrame, found: DataFrame) -> DataFrame:

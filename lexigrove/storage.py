@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only up to this many bytes, taken from the rows of a written table.
 BROADCAST_BYTES = 16 << 20
+#: Bytes that a row of a broadcast relation takes besides its values.
+ROW_OVERHEAD = 96
 
 _run = f"lexigrove-{uuid.uuid4().hex}"
 _cleaned: set[str] = set()
@@ -50,10 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_path(df)[0]
 
 
-def cut_path(df: DataFrame) -> tuple[DataFrame, str]:
-    """cut(), and the folder of the table."""
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_path(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+    """cut(), into path if given, and the folder of the table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = path or new_folder(spark)
     # the files of the shuffles behind a written table aren't needed any more
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -78,7 +85,7 @@ def spread(table: DataFrame) -> DataFrame:
 
 def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """small with a broadcast hint if its rows, counted in a written table, fit into limit; else as it is, to be shuffled."""
-    return F.broadcast(small) if small.count() * row_bytes <= limit else small
+    return F.broadcast(small) if small.count() * (row_bytes + ROW_OVERHEAD) <= limit else small
 
 
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: rows are whole texts here, and a task holds a few batches at once.
