@@ -78,6 +78,17 @@ ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as copies, doc_id = min(doc_id) over w as keep
 from documents window w as (partition by text)
+""",
+    "op6_suffix_dedup": r"""
+with w as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '[\t\n\v\f\r ]+'), lambda x: x <> '')) as word, generate_subscripts(list_filter(regexp_split_to_array(text, '[\t\n\v\f\r ]+'), lambda x: x <> ''), 1) - 1 as pos
+  from documents where doc_id is not null),
+s as (select doc_id, pos, string_agg(word, ' ') over ahead as passage, count(*) over ahead as n from w window ahead as (partition by doc_id order by pos rows between current row and 49 following)),
+g as (select doc_id, pos, count(*) over (partition by passage) as c, first_value(doc_id) over one as first_id, first_value(pos) over one as first_pos
+  from s where n = 50 window one as (partition by passage order by doc_id, pos)),
+h as (select doc_id, pos, doc_id = first_id and pos = first_pos as first, first_id from g where c > 1),
+i as (select *, coalesce(pos > lag(pos) over run + 50, true) as new from h window run as (partition by doc_id, first order by pos)),
+j as (select *, sum(new::int) over (partition by doc_id, first order by pos) as span from i)
+select doc_id, cast(min(pos) as integer) as start_word, cast(max(pos) + 50 as integer) as end_word, first, min(first_id) as first_doc_id from j group by doc_id, first, span
 """,
     "op8_topk": """
 with v as (select vec_id, embedding::double[] as e from embeddings),
