@@ -74,8 +74,8 @@ class Block:
             self._hash = sums, power
         return self._hash
 
-    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, least: np.ndarray | int = 0) -> np.ndarray:
-        """Characters that the places a and b have in common, of at most `most`, given that it is at least `least`."""
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, least: np.ndarray | int = 0, step: int = 16) -> np.ndarray:
+        """Characters that the places a and b have in common, of at most `most`, given that it is at least `least`; step: how many more to try first."""
         sums, power = self.hashes()
         low = np.broadcast_to(np.asarray(least, np.int64), a.shape).copy()
         high = most.astype(np.int64)
@@ -83,7 +83,6 @@ class Block:
         lift = power[last - first]
         open_ = np.flatnonzero(low < high)
         # the first steps go up from the least length, doubling; most differ soon
-        step = 16
         while len(open_):
             ahead = np.minimum(low[open_] + step, high[open_])
             x, y = first[open_], last[open_]
