@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet
@@ -126,16 +127,14 @@ def _edge(block: Block, order: np.ndarray, at: np.ndarray, rank: np.ndarray, len
     return good
 
 
-def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts, least: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word of texts, in a shard of documents with these words: the longest run of words ending there that the shard has, how often it has that run, and the word.
 
-    owner: the text that a document is itself (-1: none); its places count for nothing at the text's same places.
+    owner: the text that a document is itself (-1: none); its places count for nothing at the text's same places. least: runs shorter than that are of no interest.
     """
     d, total = len(size), len(texts.code)
-    both = np.concatenate([code, texts.code])
-    kinds = np.unique(both)
-    ids = np.searchsorted(kinds, both).astype(np.int32)
-    del both
+    ids, kinds = pd.factorize(np.concatenate([code, texts.code]))
+    ids = ids.astype(np.int32)
     sizes = np.concatenate([size, texts.size])
     length = sizes + 1
     begin = np.cumsum(length) - length
@@ -166,6 +165,7 @@ def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts
     before = np.maximum.accumulate(np.where(is_mine, places, np.int32(-1)))
     behind = np.minimum.accumulate(np.where(is_mine, places, np.int32(n))[::-1])[::-1]
     del places
+    sums, power = block.hashes()
     own = np.append(owner, np.full(len(texts.size), -1))
 
     def nearest(near: np.ndarray, side: int) -> np.ndarray:
@@ -180,18 +180,24 @@ def matches(code: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: _Texts
             step = found[twin] + side
             found[twin] = np.where((step >= 0) & (step < n), near[np.clip(step, 0, n - 1)], -1)
         most = np.where(ok, np.minimum(q_end - at, end[document[x]] - x), 0)
-        return block.common(at, x, most)
+        # a run as long as asked for is tested at once; only where there is one its whole length matters
+        m = np.minimum(least, most)
+        first, last = np.minimum(at, x), np.maximum(at, x)
+        on = np.flatnonzero((most >= least) & ((sums[first + m] - sums[first]) * power[last - first] == sums[last + m] - sums[last]))
+        found = np.zeros(total, np.int64)
+        found[on] = block.common(at[on], x[on], most[on], m[on], step=1)
+        return found
 
     longest = np.maximum(nearest(before, -1), nearest(behind, 1))
     del before, behind, document
     twins = np.bincount(owner[owner >= 0], minlength=len(texts.size))[lead]
     running = np.concatenate([np.zeros(1, np.int32), np.cumsum(is_mine, dtype=np.int32)])
-    count = np.zeros(total, np.int64)
-    some = np.flatnonzero(longest > 0)
+    single = np.bincount(ids[: len(code)], minlength=len(kinds))[ids[len(code) :]] - twins
+    count = np.where(longest == 1, single, 0)
+    some = np.flatnonzero((longest > 1) & (longest >= least))
     low = _edge(block, order, at[some], at_rank[some], longest[some], -1)
     high = _edge(block, order, at[some], at_rank[some], longest[some], 1)
     count[some] = running[high + 1].astype(np.int64) - running[low] - twins[some]
-    single = np.bincount(ids[: len(code)], minlength=len(kinds))[ids[len(code) :]] - twins
     return longest, count, single
 
 
@@ -219,7 +225,7 @@ def _index(path: str, low: int, high: int, shard_words: int):
             owner = texts.owner(np.concatenate(keys))
             code = np.concatenate(codes)
             words_held += len(code)
-            longest, count, single = matches(code, np.concatenate(sizes), owner, texts)
+            longest, count, single = matches(code, np.concatenate(sizes), owner, texts, best[0])
             best[2] += single
             more, same = longest > best[0], longest == best[0]
             best[1] = np.where(more, count, np.where(same, best[1] + count, best[1]))
