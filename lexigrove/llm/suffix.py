@@ -25,7 +25,7 @@ LENGTH, FIRST = 50, 8
 #: Bytes of a name. Names are hashes; two different runs of 8 words among 10**9 share one with probability 0.01, and what is found then also needs the rest of the window to agree.
 NAME_BYTES = 7
 #: Bytes of text for each range of names and each bucket of documents: what a task holds.
-RANGE_BYTES = 14 << 20
+RANGE_BYTES = 8 << 20
 #: Records: single places of names to a range (ASK), names at several places of a task to their range (TELL), such places to their documents' bucket (KNOWN).
 ASK, TELL, KNOWN = 0, 1, 2
 _RECORD = "part int, kind int, data binary"
@@ -146,7 +146,7 @@ def _asked(places: Places, bits: int) -> pa.RecordBatch:
 def _first_names(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, 8 << 20):
+            for part in slices(batch, 2, 4 << 20):
                 ids, tags = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 # rows of one id and text are one document
                 once = np.zeros(part.num_rows, bool)
