@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..arrow import slices
@@ -172,10 +172,10 @@ def near_edges(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = same.join(small, "all").where("id <> b").select(F.col("id").alias("a"), "b")
     single = cut(same.join(small, "all", "left").where("b is null or id = b").select("id", "sketch", "bands"))
     in_bands = single.select("id", F.explode("bands").alias("bucket"))
-    counted = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    counted = cut(counted.select("bucket", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")))
+    # counted where the bucket's members meet, so that the rows of all bands, most of them alone in their buckets, are moved once
+    counted = in_bands.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
     # the members of a bucket that is larger than a task should hold are cut into pieces, and each two pieces meet
-    members = in_bands.join(checked_broadcast(counted, 24), "bucket").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    members = counted.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     others = F.when(F.col("pieces") > 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.lit(0)))
     met = members.select("id", "bucket", "piece", "pieces", F.explode(others).alias("other"))
     low, high = F.least("piece", "other"), F.greatest("piece", "other")

@@ -116,3 +116,25 @@ def test_pieces_of_buckets_give_the_same_groups(spark, monkeypatch):
     want = sorted(map(tuple, near.near_groups(docs).collect()))
     monkeypatch.setattr(near, "PIECE", 2)
     assert sorted(map(tuple, near.near_groups(docs).collect())) == want
+
+
+def test_rows_of_bands_are_moved_once(spark, monkeypatch):
+    n = 300
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30)), 1, "k") for i in range(n)], SCHEMA).repartition(4)
+    sketched = near.cut(near.sketches(docs))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    monkeypatch.setattr(near, "checked_broadcast", lambda small, *_: small)
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert near.near_edges(sketched).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert near.BANDS * n <= moved() - before < 1.5 * near.BANDS * n
