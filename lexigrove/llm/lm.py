@@ -1,6 +1,10 @@
-"""Unbounded n-gram scoring on sharded suffix arrays of the corpus.
+"""Unbounded n-gram scoring: counts of short runs of words by hash, suffix arrays for what goes on longer.
 
-A task takes its documents in shards of SHARD_WORDS words. A shard's suffix array is that of the words backwards, so that what precedes a word, however far back, is a suffix, and the places of
+One pass over the corpus, whatever the number of texts, counts the runs of 1 to SHORT words that end at a word of the texts. A task sends on only those that a filter of the texts' runs lets
+through, added up; ranges of their hashes give each place of the texts its counts. Where a run of SHORT words occurs elsewhere, a longer one may. Such passages of the texts
+are looked up in the corpus' passages that share a run of SHORT words with them, which the pass has put aside; all else of the corpus can't have a run so long.
+
+There, a task takes passages in shards of SHARD_WORDS words. A shard's suffix array is that of the words backwards, so that what precedes a word, however far back, is a suffix, and the places of
 the texts to score are sorted in. The longest context before a word that a shard has is the longer of what the place shares with its neighbours there; binary search in the array
 finds the range of all suffixes that begin with it, whose size is how often it occurs. A task keeps, over its shards, the longest context of each place and its count; over the
 tasks, the longest of these and the sum of its counts stay. With the same for the next word, that is the probability of a word after its longest context, which is smoothed by that without context.
@@ -8,7 +12,7 @@ tasks, the longest of these and the sum of its counts stay. With the same for th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +30,15 @@ from .common import col, ranges
 from .near import folded
 
 _U = np.uint64
-#: Words of a shard, and of the texts that are scored in one go over the corpus; a task holds some 80 bytes for each.
+#: Words of a shard, and of the texts that are looked up in one go over the passages; a task holds some 80 bytes for each.
 SHARD_WORDS, TEXT_WORDS = 3_000_000, 1_500_000
+#: Words of the longest runs that are counted by hash.
+SHORT = 5
+#: Hashes that a task adds up at once; words of a record of passages; ranges of hashes, at most; bits of a task's filter for a run of the texts, and the binary logarithm of all bits, at most.
+HASHES, PASSAGE_WORDS, RANGES, RUN_BITS, MOST_BITS = 4_000_000, 1000, 500, 16, 30
+#: What a record of the pass holds.
+COUNTS, PLACES, PASSAGES, WORDS = range(4)
+_RUN_BASE, _KEY_SALT = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 #: Weight of the shorter context's probability, in occurrences.
 ALPHA = 1.0
 
@@ -73,28 +84,32 @@ def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _batches(path: str, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of words, sizes, numbers and keys of the texts in the blocks from low to high - 1."""
+    system, root = pyarrow.fs.FileSystem.from_uri(path)
+    for file in sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet")):
+        for batch in pyarrow.parquet.ParquetFile(file, filesystem=system).iter_batches(1000, columns=["query", "text", "key", "block"]):
+            block = batch.column("block").to_numpy()
+            mine = batch.filter(pa.array((block >= low) & (block < high)))
+            code, first = folded_words(mine.column("text"))
+            yield code, np.diff(first), mine.column("query").to_numpy(), mine.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+
+
 class _Texts:
-    """Texts to score: hashes of their words, where each begins, keys that tell documents apart."""
-
-    def __init__(self, path: str, low: int, high: int) -> None:
-        system, root = pyarrow.fs.FileSystem.from_uri(path)
-        files = sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet"))
-        codes, sizes, query, key = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-        for file in files:
-            for batch in pyarrow.parquet.ParquetFile(file, filesystem=system).iter_batches(1000, columns=["query", "text", "key", "block"]):
-                block = batch.column("block").to_numpy()
-                mine = batch.filter(pa.array((block >= low) & (block < high)))
-                code, first = folded_words(mine.column("text"))
-                codes.append(code)
-                sizes.append(np.diff(first))
-                query.append(mine.column("query").to_numpy())
-                key.append(mine.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
-        self.code, self.size, self.query, self.key = (np.concatenate(x) for x in (codes, sizes, query, key))
+    """Texts to score, or passages of them: hashes of their words, where each begins, keys that tell documents apart."""
+
+    def __init__(self, code: np.ndarray, size: np.ndarray, query: np.ndarray, key: np.ndarray) -> None:
+        self.code, self.size, self.query, self.key = code, size, query, key
         self.by_key = np.argsort(self.key, kind="stable")
         self.keys = self.key[self.by_key]
         #: The text that stands for all of its key, which are equal.
         self.lead = np.where(self.key == 0, np.arange(len(self.key)), self.owner(self.key))
 
+    @classmethod
+    def read(cls, path: str, low: int, high: int) -> _Texts:
+        none = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))]
+        return cls(*(np.concatenate(x) for x in zip(*none, *_batches(path, low, high), strict=True)))
+
     def owner(self, key: np.ndarray) -> np.ndarray:
         """The first text with the key, which isn't 0; -1: there is none."""
         if not len(self.keys):
@@ -214,46 +229,258 @@ def _found(data: bytes) -> np.ndarray:
     return out.view("<i8").reshape(3, -1)
 
 
-def _index(path: str, low: int, high: int, shard_words: int):
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts(path, low, high)
+class _Filter:
+    """Lets through all hashes that were added, and few others."""
+
+    def __init__(self, n: int) -> None:
+        bits = min(max(int(n * RUN_BITS).bit_length(), 16), MOST_BITS)
+        self.mask, self.table = _U((1 << bits) - 1), np.zeros(1 << (bits - 3), np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        at = hashes & self.mask
+        np.bitwise_or.at(self.table, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.table[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _found_in(hashes: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of the hashes is in the sorted ones, and where."""
+    if not len(sorted_):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
+    return sorted_[at] == hashes, at
+
+
+def _short_runs(code: np.ndarray, size: np.ndarray, keep: Callable[[np.ndarray], np.ndarray] | None = None, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, hashes) for n from least to SHORT: the runs of n words, within a text, that end at the places. keep: of the runs asked about, which stay; what ends in none of them isn't made longer."""
+    at = np.arange(len(code))
+    depth = (at - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    value = code
+    for n in range(1, SHORT + 1):
+        if n > 1:
+            longer = depth[at] >= n - 1
+            at = at[longer]
+            value = value[longer] * _RUN_BASE + code[at - (n - 1)]
+        if n < least:
+            continue
+        hashes = words.mix(value + _U(n))
+        if keep is not None:
+            some = keep(hashes)
+            at, value, hashes = at[some], value[some], hashes[some]
+        yield n, at, hashes
+
+
+def _passages(code: np.ndarray, size: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size, text and place in the text of what runs of SHORT words that end at ends cover; words next to each other in a text are one passage."""
+    change = np.zeros(len(code) + 1, np.int32)
+    np.add.at(change, ends - (SHORT - 1), 1)
+    np.add.at(change, ends + 1, -1)
+    covered = np.cumsum(change[:-1]) > 0
+    begin = np.cumsum(size) - size
+    heads = np.zeros(len(code) + 1, bool)
+    heads[begin] = True
+    starts = covered & heads[:-1]
+    starts[1:] |= covered[1:] & ~covered[:-1]
+    stops = covered.copy()
+    stops[:-1] &= ~covered[1:] | heads[1:-1]
+    start, stop = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    text = np.searchsorted(begin, start, "right") - 1
+    return start, stop - start, text, start - begin[text]
+
+
+def _long_passages(code: np.ndarray, size: np.ndarray, long_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_passages() of the runs of SHORT words whose hashes are among the sorted long_."""
+    for _, at, hashes in _short_runs(code, size, least=SHORT):
+        found = _passages(code, size, at[_found_in(hashes, long_)[0]])
+    return found
+
+
+def _passage_keys(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Tells apart the passages of documents with these keys; 0 stays."""
+    return np.where(key == 0, _U(0), words.mix(key + (place.astype(_U) + _U(1)) * _KEY_SALT) | _U(1))
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["range", "kind", "block", "n", "a", "b"])
+
+
+_RECORD = "range int, kind int, block int, n long, a binary, b binary"
+
+
+def _in_ranges(hashes: np.ndarray, n_ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted hashes."""
+    cuts = np.searchsorted(((hashes >> _U(32)) * _U(n_ranges)) >> _U(32), np.arange(n_ranges + 1, dtype=_U))
+    return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+
+
+def _ask(path: str, n_ranges: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs at the places of each block of texts: the run of n words at place i has the number (n - 1) * words + i; behind these come the texts' keys."""
+        for block in (b for batch in batches for b in batch.column(0).to_pylist()):
+            texts = _Texts.read(path, block, block + 1)
+            n = len(texts.code)
+            own = np.flatnonzero(texts.key != 0)
+            asked = [(hashes, at + (k - 1) * n) for k, at, hashes in _short_runs(texts.code, texts.size)] + [(words.mix(texts.key[own] ^ _KEY_SALT), own + SHORT * n)]
+            hashes, place = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.argsort(hashes)
+            hashes, place = hashes[order], place[order]
+            yield _records([(0, PLACES, block, None, b"", b"")])  # a block is answered even if nothing of it is found
+            for k, a, b in _in_ranges(hashes, n_ranges):
+                yield _records([(k, PLACES, block, None, hashes[a:b].tobytes(), place[a:b].astype(np.int64).tobytes())])
+
+    return ask
+
+
+def _survey(path: str, total: int, blocks: int, n_ranges: int):
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of documents (key, text): how often runs of the texts occur, and the passages that may have longer ones."""
+        wanted, keys = _Filter((total + 1) * SHORT), [np.zeros(0, _U)]
+        for code, size, _, key in _batches(path, 0, blocks):
+            for _, _, hashes in _short_runs(code, size):
+                wanted.add(hashes)
+            keys.append(key[key != 0])
+        keys = np.unique(np.concatenate(keys))
+        held, n_held, n_words, turn = [], 0, 0, 0
+
+        def added_up() -> pa.RecordBatch:
+            hashes = np.sort(np.concatenate(held))
+            begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            count = np.diff(np.append(begin, len(hashes)))
+            hashes = hashes[begin]
+            return _records([(k, COUNTS, None, None, hashes[a:b].tobytes(), count[a:b].astype(np.int64).tobytes()) for k, a, b in _in_ranges(hashes, n_ranges)])
+
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            code, first = folded_words(part.column(1))
+            size = np.diff(first)
+            key = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+            key = np.where(_found_in(key, keys)[0], key, _U(0))
+            n_words += len(code)
+            own = words.mix(key[key != 0] ^ _KEY_SALT)
+            held.append(own)
+            n_held += len(own)
+            for _, at, hashes in _short_runs(code, size, wanted.has):
+                held.append(hashes)
+                n_held += len(hashes)
+            start, length, text, place = _passages(code, size, at)
+            sent = np.cumsum(length)
+            a = 0
+            while a < len(start):
+                b = max(a + 1, int(np.searchsorted(sent, (sent[a - 1] if a else 0) + PASSAGE_WORDS, "right")))
+                turn += 1
+                yield _records([(turn % n_ranges, PASSAGES, None, None, code[ranges(start[a:b], length[a:b])].tobytes(), np.stack([length[a:b].astype(np.int64), place[a:b].astype(np.int64), key[text[a:b]].view(np.int64)]).tobytes())])
+                a = b
+            if n_held >= HASHES:
+                yield added_up()
+                held, n_held = [], 0
+        if n_held:
+            yield added_up()
+        yield _records([(0, WORDS, None, n_words, None, None)])
+
+    return survey
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """A range's counts at the places that ask for them; other records go through."""
+    kind = table["kind"].to_numpy()
+    counted = table.filter(pa.array(kind == COUNTS))
+    hashes, count = _joined(counted["a"], _U), _joined(counted["b"], np.int64)
+    order = np.argsort(hashes)
+    hashes, count = hashes[order], count[order]
+    if len(hashes):
+        begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        hashes, count = hashes[begin], np.add.reduceat(count, begin)
+    answers = []
+    for row in table.filter(pa.array(kind == PLACES)).to_pylist():
+        there, at = _found_in(np.frombuffer(row["a"], _U), hashes)
+        answers.append((row["range"], PLACES, row["block"], None, np.frombuffer(row["b"], np.int64)[there].tobytes(), count[at[there]].tobytes() if len(hashes) else b""))
+    through = table.filter(pa.array(kind >= PASSAGES))
+    return pa.concat_tables([pa.Table.from_batches([_records(answers)]), through.cast(_records([]).schema)])
+
+
+def _short(path: str):
+    def short(table: pa.Table) -> pa.Table:
+        """Of a block's texts, what _found() reads, with runs of less than SHORT words; in a row of number -1 the hashes of runs of SHORT words that occur elsewhere, and how many words these cover."""
+        block = table["block"][0].as_py()
+        texts = _Texts.read(path, block, block + 1)
+        n = len(texts.code)
+        count = np.zeros(SHORT * n + len(texts.size), np.int64)
+        for place, c in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            count[np.frombuffer(place, np.int64)] = np.frombuffer(c, np.int64)
+        twins = np.repeat(count[SHORT * n :], texts.size)
+        count = count[: SHORT * n].reshape(SHORT, n) - twins
+        best = np.zeros((3, n), np.int64)
+        for k in range(1, SHORT):
+            more = count[k - 1] > 0
+            best[0, more], best[1, more] = k, count[k - 1, more]
+        best[2] = count[0]
+        long_ = np.unique(np.concatenate([h[count[SHORT - 1, at] > 0] for _, at, h in _short_runs(texts.code, texts.size, least=SHORT)]))
+        covered = int(_long_passages(texts.code, texts.size, long_)[1].sum())
+        ends = np.cumsum(texts.size)
+        data = [b"".join(_planes(x[b - m : b]) for x in best) for b, m in zip(ends, texts.size, strict=True)]
+        return pa.table(
+            [pa.array([block] * (len(data) + 1), pa.int32()), pa.array([-1, *texts.query.tolist()], pa.int64()), pa.array([covered] + [None] * len(data), pa.int64()), pa.array([long_.tobytes(), *data], pa.binary())],
+            names=["block", "query", "covered", "data"],
+        )
+
+    return short
+
+
+def _long(path: str, set_path: str, low: int, high: int, shard_words: int):
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of SHORT words and more in records of passages: for each text that has such, what _found() reads, with 0 where there is none."""
+        system, root = pyarrow.fs.FileSystem.from_uri(set_path)
+        sets = [np.zeros(0, _U)]
+        for file in (f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet")):
+            for row in pyarrow.parquet.ParquetFile(file, filesystem=system).read(columns=["block", "data"]).to_pylist():
+                if low <= row["block"] < high:
+                    sets.append(np.frombuffer(row["data"], _U))
+        long_ = np.unique(np.concatenate(sets))
+        # query, words of the whole text and place in it, for each passage of the texts
+        codes, sizes, keys, query, whole, where = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for code, size, number, key in (x for block in range(low, high) for x in _batches(path, block, block + 1)):
+            start, length, text, place = _long_passages(code, size, long_)
+            for held, x in ((codes, code[ranges(start, length)]), (sizes, length), (keys, _passage_keys(key[text], place)), (query, number[text]), (whole, size[text]), (where, place)):
+                held.append(x)
+        query, whole, where = np.concatenate(query), np.concatenate(whole), np.concatenate(where)
+        texts = _Texts(np.concatenate(codes), np.concatenate(sizes), query, np.concatenate(keys))
         best = np.zeros((3, len(texts.code)), np.int64)
-        words_held = 0
 
         def searched(codes: list[np.ndarray], sizes: list[np.ndarray], keys: list[np.ndarray]) -> None:
-            nonlocal words_held
             owner = texts.owner(np.concatenate(keys))
-            code = np.concatenate(codes)
-            words_held += len(code)
-            longest, count, single = matches(code, np.concatenate(sizes), owner, texts, best[0])
-            best[2] += single
-            more, same = longest > best[0], longest == best[0]
+            longest, count, _ = matches(np.concatenate(codes), np.concatenate(sizes), owner, texts, np.maximum(best[0], SHORT))
+            more, same = longest > best[0], (longest == best[0]) & (longest > 0)
             best[1] = np.where(more, count, np.where(same, best[1] + count, best[1]))
             best[0] = np.maximum(best[0], longest)
 
         codes, sizes, keys, held = [], [], [], 0
-        for batch in batches:
-            for part in slices(batch, 1):
-                code, first = folded_words(part.column(1))
-                codes.append(code)
-                sizes.append(np.diff(first))
-                keys.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
-                held += len(code)
-                if held >= shard_words:
-                    searched(codes, sizes, keys)
-                    codes, sizes, keys, held = [], [], [], 0
+        for a, b in (x for batch in batches for x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            code, (size, offset, key) = np.frombuffer(a, _U), np.frombuffer(b, np.int64).reshape(3, -1)
+            start, length, text, place = _long_passages(code, size, long_)
+            codes.append(code[ranges(start, length)])
+            sizes.append(length)
+            keys.append(_passage_keys(key.view(_U)[text], offset[text] + place))
+            held += int(length.sum())
+            if held >= shard_words:
+                searched(codes, sizes, keys)
+                codes, sizes, keys, held = [], [], [], 0
         if held:
             searched(codes, sizes, keys)
-        if not words_held:
-            return
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([words_held], pa.int64()), pa.array([None], pa.binary())], ["query", "words", "data"])
         ends = np.cumsum(texts.size)
-        for a in range(0, len(ends), 1000):
-            some = range(a, min(a + 1000, len(ends)))
-            data = [b"".join(_planes(x[ends[k] - texts.size[k] : ends[k]]) for x in best) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(texts.query[some.start : some.stop]), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], ["query", "words", "data"])
+        cuts = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts[1:], len(query)), strict=True):
+            full = np.zeros((3, whole[a]), np.int64)
+            for k in range(a, b):
+                full[:2, where[k] : where[k] + texts.size[k]] = best[:2, ends[k] - texts.size[k] : ends[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(query[a : a + 1]), pa.array([b"".join(_planes(x) for x in full)], pa.binary())], ["query", "data"])
 
-    return index
+    return look_up
 
 
 def _scored(total: int, alpha: float):
@@ -287,6 +514,17 @@ def _key(df: DataFrame, id_col: str, text_col: str):
     return F.when(key.isNull(), F.lit(0)).otherwise(F.xxhash64(key, col(df, text_col).cast("string"))).cast("long")
 
 
+def _goes(covered: list[tuple[int, int]], text_words: int) -> list[tuple[int, int]]:
+    """From which block to which passages are looked up in one go; covered: the blocks in order, with the words that their passages have."""
+    goes, low, sum_ = [], 0, 0
+    for block, n in covered:
+        if sum_ and sum_ + n > text_words:
+            goes.append((low, block))
+            low, sum_ = block, 0
+        sum_ += n
+    return [*goes, (low, covered[-1][0] + 1)] if sum_ else goes
+
+
 def score(
     texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text", alpha: float = ALPHA, shard_words: int = SHARD_WORDS, own_col: str | None = None, text_words: int = TEXT_WORDS
 ) -> DataFrame:
@@ -299,26 +537,34 @@ def score(
     gives each word the probability 1. An empty table of texts gives no rows.
 
     own_col: the column of corpus with its documents' ids, where texts are some of them. The scored occurrence itself then counts for nothing, nor among N: the place that the text has in rows with
-    its id and text; in texts without an id, all counts. Time grows with the words of texts times those of corpus: each TEXT_WORDS of texts are one pass over the corpus.
+    its id and text; in texts without an id, all counts. The corpus is read once. Only for passages of SHORT words and more that occur in both does time grow with the words of texts times those
+    of corpus: each TEXT_WORDS of such passages of texts are looked up in all such passages of corpus.
     """
     spark = texts.sparkSession
     plain = texts.select(col(texts, id_col).cast("long").alias("out_id"), F.coalesce(col(texts, text_col).cast("string"), F.lit("")).alias("text"), (_key(texts, id_col, text_col) if own_col else F.lit(0).cast("long")).alias("key"))
     numbered = cut(plain.withColumn("query", F.monotonically_increasing_id()))
     length = cut(numbered.select("query", "text").mapInArrow(_text_depth, "query long, n_words long"))
     total = length.agg(F.sum("n_words")).first()[0] or 0
-    passes = max(1, -(-total // text_words))
-    queries, path = cut_path(numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(passes)).cast("int")))
+    blocks = max(1, -(-total // text_words))
+    queries, path = cut_path(numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")))
     own = _key(corpus, own_col, corpus_text_col) if own_col else F.lit(0).cast("long")
     documents = corpus.select(own.alias("key"), col(corpus, corpus_text_col).cast("string").alias("text")).where("text is not null")
-    documents = documents.coalesce(spark.sparkContext.defaultParallelism)  # a task sums up over its shards
-    parts = None
-    for k in range(passes):
-        found = documents.mapInArrow(_index(path, k, k + 1, shard_words), "query long, words long, data binary")
-        parts = found if parts is None else parts.unionByName(found)
+    n_ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
+    documents = documents.coalesce(spark.sparkContext.defaultParallelism)  # a task makes one filter
+    surveyed = documents.mapInArrow(_survey(path, total, blocks, n_ranges), _RECORD)
+    asked = spark.range(0, blocks, 1, min(blocks, spark.sparkContext.defaultParallelism)).mapInArrow(_ask(path, n_ranges), _RECORD)
+    met = cut(surveyed.unionByName(asked).groupBy("range").applyInArrow(_meet, _RECORD))
+    held = met.where(F.col("kind") == WORDS).agg(F.sum("n")).first()[0] or 0
+    answers = met.where(F.col("kind") == PLACES).select("block", "a", "b")
+    short = cut(answers.groupBy("block").applyInArrow(_short(path), "block int, query long, covered long, data binary"))
+    parts = short.where(F.lit(held > 0) & (F.col("query") >= 0)).select("query", "data")
+    sets, set_path = cut_path(short.where("query = -1").select("block", "covered", "data"))
+    passages = met.where(F.col("kind") == PASSAGES).select("a", "b").coalesce(spark.sparkContext.defaultParallelism)  # a task sums up over its shards
+    for low, high in _goes(sorted(map(tuple, sets.select("block", "covered").collect())), text_words):
+        parts = parts.unionByName(passages.mapInArrow(_long(path, set_path, low, high, shard_words), "query long, data binary"))
     parts = cut(parts)
-    held = (parts.where("query = -1").agg(F.sum("words")).first()[0] or 0) // passes
     held = max(held - bool(own_col), 0)
-    sums = parts.where("query >= 0").select("query", "data").groupBy("query").applyInArrow(_scored(held, float(alpha)), "query long, log_prob double, mean_context double, longest_context int")
+    sums = parts.groupBy("query").applyInArrow(_scored(held, float(alpha)), "query long, log_prob double, mean_context double, longest_context int")
     out = queries.select("query", "out_id").join(length, "query").join(sums, "query", "left")
     log_prob = F.when(F.col("n_words") > 0, F.coalesce("log_prob", F.lit(0.0)))  # no word anywhere: each is certain
     return out.select(

@@ -101,3 +101,39 @@ def test_a_long_copy(spark):
     t = spark.createDataFrame([(1, long), (2, "x " + long), (3, "w1 w2")], "item_id long, text string").repartition(2)
     out = {x.item_id: x for x in lm.score(t, t, own_col="item_id").collect()}
     assert out[1].longest_context == 19_999 and out[2].longest_context == 19_999 and out[3].longest_context <= 1
+
+
+def test_the_corpus_is_read_once_however_many_texts(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(10))) for i in range(1500)] + [(2000 + i, "a passage that two texts have in common " + str(i)) for i in range(40)]
+    t = lm.cut(spark.createDataFrame(rows, "item_id long, text string").repartition(3))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def rows_read():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+    some = t.where("item_id % 100 = 0")
+    before = rows_read()
+    got = [tuple(x) for x in lm.score(some, t, shard_words=2000, own_col="item_id", text_words=20).collect()]
+    assert rows_read() - before < 4 * len(rows)
+    assert {x[0]: x[5] for x in got}[2000] == 8
+    few = [x for x in rows if x[0] in (0, 100, 2000)]
+    close([x for x in got if x[0] in (0, 100, 2000)], brute(few, [x for _, x in rows], own=1))
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 15])
+def test_passages_at_the_bound_of_short_runs(spark, n):
+    words_ = [f"p{i}" for i in range(n)]
+    rows = [(1, " ".join(["x1", *words_, "y1"])), (2, " ".join(["x2", *words_, "y2", *words_])), (3, " ".join(words_)), (3, " ".join(words_)), (4, " ".join(words_[1:])), (None, " ".join(words_)), (5, "z"), (6, " ".join(["x1", *words_[:-1]]))]
+    t = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    got = [tuple(x) for x in lm.score(t, t, own_col="item_id", shard_words=2 * n, text_words=2 * n).collect()]
+    corpus = [x for _, x in rows]
+    for own, pick in ((1, (1, 2, 4, 5, 6)), (2, (3,)), (0, (None,))):
+        want = brute([x for x in rows if x[0] in pick], corpus, own=own)
+        if own == 1:
+            close([x for x in got if x[0] in pick], want)
+        else:
+            assert sorted(x[5] for x in got if x[0] in pick) == sorted(x[5] for x in want)
