@@ -30,12 +30,12 @@ from .common import col, ranges
 from .near import folded
 
 _U = np.uint64
-#: Words of a shard, and of the texts that are looked up in one go over the passages; a task holds some 80 bytes for each.
+#: Words that a task looks up passages of texts in at once, with these (at least a third is the shard's), and of the texts that are looked up in one go over the passages; a task holds some 80 bytes for each.
 SHARD_WORDS, TEXT_WORDS = 3_000_000, 1_500_000
-#: Words of the longest runs that are counted by hash.
-SHORT = 5
+#: Words of the longest runs that are counted by hash; words of a block of texts, at most, whose counts a task holds.
+SHORT, BLOCK_WORDS = 5, 250_000
 #: Hashes that a task adds up at once; words of a record of passages; ranges of hashes, at most; bits of a task's filter for a run of the texts, and the binary logarithm of all bits, at most.
-HASHES, PASSAGE_WORDS, RANGES, RUN_BITS, MOST_BITS = 4_000_000, 1000, 500, 16, 30
+HASHES, PASSAGE_WORDS, RANGES, RUN_BITS, MOST_BITS = 4_000_000, 1000, 500, 16, 29
 #: What a record of the pass holds.
 COUNTS, PLACES, PASSAGES, WORDS = range(4)
 _RUN_BASE, _KEY_SALT = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -88,7 +88,11 @@ def _batches(path: str, low: int, high: int) -> Iterator[tuple[np.ndarray, np.nd
     """Hashes of words, sizes, numbers and keys of the texts in the blocks from low to high - 1."""
     system, root = pyarrow.fs.FileSystem.from_uri(path)
     for file in sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet")):
-        for batch in pyarrow.parquet.ParquetFile(file, filesystem=system).iter_batches(1000, columns=["query", "text", "key", "block"]):
+        table = pyarrow.parquet.ParquetFile(file, filesystem=system)
+        at = table.schema_arrow.get_field_index("block")
+        bounds = [table.metadata.row_group(g).column(at).statistics for g in range(table.num_row_groups)]
+        groups = [g for g, x in enumerate(bounds) if x is None or not x.has_min_max or (x.max >= low and x.min < high)]
+        for batch in table.iter_batches(1000, row_groups=groups, columns=["query", "text", "key", "block"]) if groups else ():
             block = batch.column("block").to_numpy()
             mine = batch.filter(pa.array((block >= low) & (block < high)))
             code, first = folded_words(mine.column("text"))
@@ -346,11 +350,13 @@ def _survey(path: str, total: int, blocks: int, n_ranges: int):
         held, n_held, n_words, turn = [], 0, 0, 0
 
         def added_up() -> pa.RecordBatch:
-            hashes = np.sort(np.concatenate(held))
+            hashes = np.concatenate(held)
+            held.clear()
+            hashes.sort()
             begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
             count = np.diff(np.append(begin, len(hashes)))
             hashes = hashes[begin]
-            return _records([(k, COUNTS, None, None, hashes[a:b].tobytes(), count[a:b].astype(np.int64).tobytes()) for k, a, b in _in_ranges(hashes, n_ranges)])
+            return _records([(k, COUNTS, None, None, hashes[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for k, a, b in _in_ranges(hashes, n_ranges)])
 
         for part in (x for batch in batches for x in slices(batch, 1)):
             code, first = folded_words(part.column(1))
@@ -374,7 +380,7 @@ def _survey(path: str, total: int, blocks: int, n_ranges: int):
                 a = b
             if n_held >= HASHES:
                 yield added_up()
-                held, n_held = [], 0
+                n_held = 0
         if n_held:
             yield added_up()
         yield _records([(0, WORDS, None, n_words, None, None)])
@@ -390,7 +396,7 @@ def _meet(table: pa.Table) -> pa.Table:
     """A range's counts at the places that ask for them; other records go through."""
     kind = table["kind"].to_numpy()
     counted = table.filter(pa.array(kind == COUNTS))
-    hashes, count = _joined(counted["a"], _U), _joined(counted["b"], np.int64)
+    hashes, count = _joined(counted["a"], _U), _joined(counted["b"], np.int32).astype(np.int64)
     order = np.argsort(hashes)
     hashes, count = hashes[order], count[order]
     if len(hashes):
@@ -467,7 +473,7 @@ def _long(path: str, set_path: str, low: int, high: int, shard_words: int):
             sizes.append(length)
             keys.append(_passage_keys(key.view(_U)[text], offset[text] + place))
             held += int(length.sum())
-            if held >= shard_words:
+            if held >= max(shard_words - len(texts.code), shard_words // 3):
                 searched(codes, sizes, keys)
                 codes, sizes, keys, held = [], [], [], 0
         if held:
@@ -545,8 +551,9 @@ def score(
     numbered = cut(plain.withColumn("query", F.monotonically_increasing_id()))
     length = cut(numbered.select("query", "text").mapInArrow(_text_depth, "query long, n_words long"))
     total = length.agg(F.sum("n_words")).first()[0] or 0
-    blocks = max(1, -(-total // text_words))
-    queries, path = cut_path(numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")))
+    blocks = max(1, -(-total // min(text_words, BLOCK_WORDS)))
+    # a block's rows lie together, so that its readers pass over most of the others
+    queries, path = cut_path(numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).repartition("block").sortWithinPartitions("block"))
     own = _key(corpus, own_col, corpus_text_col) if own_col else F.lit(0).cast("long")
     documents = corpus.select(own.alias("key"), col(corpus, corpus_text_col).cast("string").alias("text")).where("text is not null")
     n_ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
