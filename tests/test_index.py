@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from lexigrove.functions import ranges, sizing, symbols
-from lexigrove.operators import allocate, block, prefixes, search, suffixes, tree, trie
+from lexigrove.operators import allocate, block, mapped, prefixes, search, suffixes, tree, trie
 from lexigrove.plans.engine import Jobs, NotFound, NotReady, SuffixIndex
 from lexigrove.sources import corpus as corpora
 
@@ -142,6 +142,30 @@ def test_a_build_beyond_a_block_is_the_same(spark, monkeypatch, options):
     assert rows() == block
 
 
+@pytest.mark.parametrize("size", [7, 1 << 20])
+def test_ranges_equal_the_block(spark, monkeypatch, size):
+    """Suffixes of a prefix, and equal ones, may lie in several ranges; texts hold repeats longer than the way to an anchor."""
+    monkeypatch.setattr(mapped, "RANGE_SUFFIXES", size)
+    monkeypatch.setattr(mapped, "WINDOW", 4)
+    r = random.Random(size)
+    long = "".join(r.choice("ab\n") for _ in range(300))
+    wide = "".join(chr(300 + r.randrange(300)) for _ in range(60))
+    for texts in ([long, long[:200], long[100:], "é😀" * 30, "", "b", "a\0", "a", "ab"] + ["ab"] * 20, ["x" * 90, "x" * 70, ""], [wide, wide[10:], wide * 2, *texts_of(2)], [""]):
+        c = corpus(spark, *texts)
+        single = prefixes.window_counts(c, 1)
+        rows = lambda s: sorted(map(tuple, suffixes.suffix_array(c, single, s).collect()))  # noqa: B023, E731
+        assert rows("mapped") == rows("block")
+
+
+def test_trees_beyond_a_block_are_never_written_and_the_same(spark, monkeypatch):
+    c = corpus(spark, *texts_of(0), *texts_of(2), "ab" * 90)
+    want = sorted(map(tuple, tree.tree_stats(built(spark, *(r.text for r in c.orderBy("doc_id").collect())).elements).select("prefix", "leaves", "max_depth").collect()))
+    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(suffixes, "index_elements", None)
+    monkeypatch.setattr(suffixes, "doubled_ranks", None)
+    assert sorted(map(tuple, SuffixIndex.trees(c).collect())) == want
+
+
 def block_of(texts):
     return block.Block.of(pa.array(range(len(texts))), texts)
 
