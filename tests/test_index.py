@@ -157,6 +157,25 @@ def test_ranges_equal_the_block(spark, monkeypatch, size):
         assert rows("mapped") == rows("block")
 
 
+def test_a_task_holds_a_range_however_frequent_a_prefix_is(spark, monkeypatch):
+    monkeypatch.setattr(mapped, "RANGE_SUFFIXES", 100)
+    monkeypatch.setattr(suffixes, "ARRAY_CHARS", 1000)
+    monkeypatch.setattr(suffixes, "_in_block", None)
+    c = corpus(spark, *["ab"] * 1000)
+    sizes, dealt = [], mapped._dealt
+
+    def counted(session, m, names):
+        found = dealt(session, m, names)
+        rows = found.applyInArrow(lambda t: pa.table({"n": pa.array([len(mapped._places(t))], pa.int64())}), "n long")
+        sizes.extend(r.n for r in rows.collect())
+        return found
+
+    monkeypatch.setattr(mapped, "_dealt", counted)
+    rows = sorted(map(tuple, suffixes.suffix_array(c, prefixes.window_counts(c, 1)).collect()))
+    assert rows == sorted([("a", k, k, 0, 2 * (k > 0)) for k in range(1000)] + [("b", k, k, 1, 1 * (k > 0)) for k in range(1000)])
+    assert sum(sizes) == 2000 and max(sizes) <= 300
+
+
 def test_trees_beyond_a_block_are_never_written_and_the_same(spark, monkeypatch):
     c = corpus(spark, *texts_of(0), *texts_of(2), "ab" * 90)
     want = sorted(map(tuple, tree.tree_stats(built(spark, *(r.text for r in c.orderBy("doc_id").collect())).elements).select("prefix", "leaves", "max_depth").collect()))
