@@ -147,6 +147,8 @@ def test_ranges_equal_the_block(spark, monkeypatch, size):
     """Suffixes of a prefix, and equal ones, may lie in several ranges; texts hold repeats longer than the way to an anchor."""
     monkeypatch.setattr(mapped, "RANGE_SUFFIXES", size)
     monkeypatch.setattr(mapped, "WINDOW", 4)
+    monkeypatch.setattr(mapped, "GROUPS", 5)
+    monkeypatch.setattr(mapped, "ANCHORS", size)
     r = random.Random(size)
     long = "".join(r.choice("ab\n") for _ in range(300))
     wide = "".join(chr(300 + r.randrange(300)) for _ in range(60))
@@ -164,11 +166,10 @@ def test_a_task_holds_a_range_however_frequent_a_prefix_is(spark, monkeypatch):
     c = corpus(spark, *["ab"] * 1000)
     sizes, dealt = [], mapped._dealt
 
-    def counted(session, m, names):
-        found = dealt(session, m, names)
-        rows = found.applyInArrow(lambda t: pa.table({"n": pa.array([len(mapped._places(t))], pa.int64())}), "n long")
-        sizes.extend(r.n for r in rows.collect())
-        return found
+    def counted(session, m, names, each, schema):
+        one = lambda mine, at: pa.table({"n": pa.array([len(at)], pa.int64())})
+        sizes.extend(r.n for r in dealt(session, m, names, one, "n long"))
+        return dealt(session, m, names, each, schema)
 
     monkeypatch.setattr(mapped, "_dealt", counted)
     rows = sorted(map(tuple, suffixes.suffix_array(c, prefixes.window_counts(c, 1)).collect()))
